@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from vellum.llm import sharding
+from vellum.llm import packing, sharding, tokenfile
 
 
 def queries() -> dict:
     return {
+        "op6_token_file": tokenfile.op6_token_file,
+        "op7_best_fit": packing.op7_best_fit,
         "op10_virtual_slots": sharding.op10_virtual_slots,
     }
 
