@@ -124,13 +124,21 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = ITEMS,
     every = finished[0]
     for more in finished[1:]:
         every = every.unionByName(more)
-    placed = every.select(
-        F.when(F.col("round") < 0, -1 - F.col("bin")).otherwise((F.col("round").cast("long") * (1 << 24) + F.col("part")) * (1 << 28) + F.col("bin")).alias("sequence_id"),
-        F.posexplode("members").alias("at", "m"),
-        F.transform("members", lambda m: m["length"]).alias("lengths"),
-    )
-    before = F.aggregate(F.slice("lengths", F.lit(1), F.col("at")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return placed.select("m.*", "sequence_id", before.alias("offset"))
+    number = F.when(F.col("round") < 0, -1 - F.col("bin")).otherwise((F.col("round").cast("long") * (1 << 24) + F.col("part")) * (1 << 28) + F.col("bin"))
+    return every.select(number.alias("sequence_id"), "members").mapInArrow(_opened, f"{PIECES}, sequence_id long, offset long")
+
+
+def _opened(batches):
+    """A row for each member of a bin, with the lengths before it as its offset."""
+    for batch in batches:
+        lists = batch.column("members")
+        flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+        length = flat.field("length").to_numpy(zero_copy_only=False)
+        before = np.cumsum(length) - length
+        first = np.cumsum(sizes) - sizes
+        offset = before - np.repeat(before[first[sizes > 0]], sizes[sizes > 0])
+        number = np.repeat(batch.column("sequence_id").to_numpy(), sizes)
+        yield pa.RecordBatch.from_arrays([*flat.flatten(), pa.array(number), pa.array(offset)], names=[*[f.name for f in MEMBER], "sequence_id", "offset"])
 
 
 def op7_best_fit(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
