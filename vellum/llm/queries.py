@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.llm import packing, prefixhash, quality, sharding, simhash, tokenfile
+from vellum.llm import packing, prefixhash, quality, sharding, simhash, suffixtree, tokenfile
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_simhash_trie": simhash.op5_simhash_trie,
         "op6_token_file": tokenfile.op6_token_file,
         "op7_best_fit": packing.op7_best_fit,
+        "op9_suffix_tree": suffixtree.op9_suffix_tree,
         "op10_virtual_slots": sharding.op10_virtual_slots,
     }
 
