@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from vellum.llm import packing, prefixhash, quality, sharding, simhash, suffixtree, tokenfile
+from vellum.llm import decontaminate, packing, prefixhash, quality, sharding, simhash, suffixtree, tokenfile
 
 
 def queries() -> dict:
     return {
         "op2_prefix_hashes": prefixhash.op2_prefix_hashes,
         "op3_ftrl_quality": quality.op3_ftrl_quality,
+        "op4_seed_align": decontaminate.op4_seed_align,
         "op5_simhash_trie": simhash.op5_simhash_trie,
         "op6_token_file": tokenfile.op6_token_file,
         "op7_best_fit": packing.op7_best_fit,
