@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from vellum.llm import decontaminate, packing, prefixhash, quality, sharding, simhash, suffixtree, tokenfile
+from vellum.llm import decontaminate, packing, pii, prefixhash, quality, sharding, simhash, suffixtree, tokenfile
 
 
 def queries() -> dict:
     return {
+        "op1_pii": pii.op1_pii,
         "op2_prefix_hashes": prefixhash.op2_prefix_hashes,
         "op3_ftrl_quality": quality.op3_ftrl_quality,
         "op4_seed_align": decontaminate.op4_seed_align,
