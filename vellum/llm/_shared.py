@@ -100,3 +100,15 @@ def key_ranges(df: DataFrame, key: str, buckets: int) -> Ranges:
         of_cell += [max(0, len(firsts) - 1 if c == last + 1 else len(firsts) - 1)] * (c - last)
         last = c
     return Ranges(low, width, tuple(of_cell), tuple(firsts))
+
+
+def often_first(rows: DataFrame, classes: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """rows inner-joined with their classes, without a hot key in one task.
+
+    classes has a row for each key and the count of its rows. Keys with over a
+    thousandth of all rows number fewer than 1000: those are broadcast, and the
+    rest is joined by a shuffle.
+    """
+    often = F.broadcast(classes.where(F.col(count) * 1000 > total).drop(count))
+    seldom = classes.where(F.col(count) * 1000 <= total).drop(count)
+    return rows.join(often, keys).unionByName(rows.join(often.select(*keys), keys, "left_anti").join(seldom, keys))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.llm import decontaminate, packing, pii, prefixhash, quality, sharding, simhash, suffixtree, tokenfile
+from vellum.llm import decontaminate, packing, pii, prefixhash, quality, sharding, simhash, suffixtree, tokenfile, urls
 
 
 def queries() -> dict:
@@ -14,10 +14,11 @@ def queries() -> dict:
         "op5_simhash_trie": simhash.op5_simhash_trie,
         "op6_token_file": tokenfile.op6_token_file,
         "op7_best_fit": packing.op7_best_fit,
+        "op8_template_tree": urls.op8_template_tree,
         "op9_suffix_tree": suffixtree.op9_suffix_tree,
         "op10_virtual_slots": sharding.op10_virtual_slots,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_template_tree": urls.ORACLE_SQL}

@@ -213,11 +213,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = _shared.stored(rooted.join(least, "root").select("fp", "n", "component_id"), "named")
-    # fewer than 1000 fingerprints can have over a thousandth of all rows each
     total = classes.agg(F.sum("n")).first()[0] or 0
-    often = named.where(F.col("n") * 1000 > total).select("fp", "component_id")
-    seldom = named.where(F.col("n") * 1000 <= total).select("fp", "component_id")
-    return found.join(F.broadcast(often), "fp").unionByName(found.join(F.broadcast(often), "fp", "left_anti").join(seldom, "fp"))
+    return _shared.often_first(found, named, ["fp"], "n", total)
 
 
 def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
