@@ -205,18 +205,38 @@ def links(classes: DataFrame, hot: int = HOT) -> DataFrame:
     )
 
 
+def _rooted(classes: DataFrame) -> DataFrame:
+    """classes with the root fingerprint of each one's component."""
+    roots = components.components(links(classes.select("fp")))
+    return classes.join(roots, classes["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, fp, component_id of every row."""
     found = _shared.stored(fingerprints(docs, words), "fingerprints")
     classes = _shared.stored(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
-    roots = components.components(links(classes.select("fp")))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(classes)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = _shared.stored(rooted.join(least, "root").select("fp", "n", "component_id"), "named")
     total = classes.agg(F.sum("n")).first()[0] or 0
     return _shared.often_first(found, named, ["fp"], "n", total)
 
 
+def deduplicate(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The rows of docs, columns as they are, that stand for their component: the least doc_id, of equal ones any one row.
+
+    docs must read the same rows in the same order each time, as a written table does.
+    """
+    numbered = docs.withColumn("vellum_row", F.monotonically_increasing_id())
+    # the fingerprint table carries the row's number in the place of its id
+    found = fingerprints(numbered.select(F.col("vellum_row").alias("doc_id"), "text"), words).withColumnRenamed("doc_id", "row")
+    ids = numbered.select(F.col("vellum_row").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"))
+    found = _shared.stored(found.join(ids, "row"), "fingerprints")
+    classes = _shared.stored(found.groupBy("fp").agg(F.min("id").alias("id"), F.min_by("row", "id").alias("row")), "classes")
+    kept = _shared.stored(_rooted(classes).groupBy("root").agg(F.min_by("row", "id").alias("vellum_row")).select("vellum_row"), "kept")
+    return numbered.join(kept, "vellum_row", "left_semi").select(*docs.columns)
+
+
 def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_shared.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
