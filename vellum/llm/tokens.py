@@ -50,7 +50,7 @@ class Memory:
 
 
 class Encoder:
-    def __init__(self, path: str, remembered: int = 150_000, together: int = 500):
+    def __init__(self, path: str, remembered: int = 300_000, together: int = 500):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer
