@@ -15,7 +15,7 @@ from vellum.llm import _shared, decontaminate, packing, pii, quality, simhash, t
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the classifier scores at its threshold or more."""
     weights = quality.fit(docs, _shared.table(spark, sf_dir, "labels"))
-    return quality.score(docs, weights).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.score(docs, weights).where(F.col("vellum_score") >= quality.THRESHOLD).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

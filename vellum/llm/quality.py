@@ -127,10 +127,10 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, bits: int = BIT
     return out
 
 
-def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
-    """docs with a column score; the text itself stays as it is."""
+def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS, name: str = "vellum_score") -> DataFrame:
+    """docs, columns as they are, and a column of the given name with the score."""
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # 4 bytes for each of 2**bits buckets
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def rows(batches):
         w, own = shared.value, _featuriser(bits)
@@ -143,7 +143,7 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
                     out.append(float(w[0]) + float(w[at].sum(dtype=np.float64)) / max(1.0, float(np.sqrt((n.astype(np.float64) ** 2).sum()))))
                 else:
                     out.append(float(w[0]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.array(out, dtype=np.float64))))], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.array(out, dtype=np.float64))))], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(rows, schema)
 
@@ -151,7 +151,7 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
 def op3_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _shared.table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = fit(docs, _shared.table(spark, sf_dir, "labels"))
-    return score(docs, weights).select(
+    return score(docs, weights, name="score").select(
         "doc_id",
         (_shared.fold(F.col("doc_id")) == 0).alias("held_out"),
         "score",
