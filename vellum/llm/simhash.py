@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import _shared, components
+from vellum.llm import _shared, components, sketches
+from vellum.llm.trie import Trie
 
 WORDS = 3
 SEED = 42
@@ -32,7 +33,6 @@ ERRORS = 3
 BLOCK_BITS = 16
 HOT = 50_000
 BATCH = 100_000
-FRONTIER = 200_000
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
@@ -59,97 +59,6 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, fp long")
 
 
-class Trie:
-    """Several subtries over sorted keys: each is a run of keys, each node a shorter run."""
-
-    def __init__(self, keys: np.ndarray, depth: int, errors: int):
-        self.keys, self.depth, self.errors = keys, depth, errors
-        self.label = np.arange(len(keys))
-        self._zeros: dict[int, np.ndarray] = {}
-        self.links: list[tuple[int, int]] = []
-        self._mark()
-
-    def _mark(self) -> None:
-        self._change = np.concatenate([[0], np.cumsum(self.label[1:] != self.label[:-1])]) if len(self.label) else self.label
-
-    def _root(self, i: int) -> int:
-        while self.label[i] != i:
-            self.label[i] = i = self.label[self.label[i]]
-        return i
-
-    def link(self, i: np.ndarray, j: np.ndarray) -> None:
-        """Keep those of the pairs that join two groups."""
-        near = np.bitwise_count(self.keys[i] ^ self.keys[j]) <= self.errors
-        near &= self.label[i] != self.label[j]
-        if not near.any():
-            return
-        for a, b in zip(i[near].tolist(), j[near].tolist(), strict=True):
-            a_root, b_root = self._root(a), self._root(b)
-            if a_root != b_root:
-                self.label[max(a_root, b_root)] = min(a_root, b_root)
-                self.links.append((a, b))
-        while (up := self.label[self.label]) is not self.label and (up != self.label).any():
-            self.label = up
-        self._mark()
-
-    def _split(self, depth: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        if depth not in self._zeros:
-            bit = (self.keys >> np.uint64(63 - depth)) & np.uint64(1)
-            self._zeros[depth] = np.concatenate([[0], np.cumsum(bit == 0)])
-        zeros = self._zeros[depth]
-        return lo + zeros[hi] - zeros[lo]
-
-    def join(self, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
-        """A forest of links between the keys of each run [lo, hi) with itself."""
-        turn = np.zeros(len(self.keys) + 1, dtype=np.int64)
-        turn[lo] += 1
-        turn[hi - 1] -= 1
-        near = np.flatnonzero(np.cumsum(turn) > 0)  # keys whose next key is in the same run
-        self.link(near, near + 1)
-        stack = [(self.depth, np.stack([lo, hi, lo, hi, np.zeros_like(lo)]))]
-        while stack:
-            depth, pairs = stack.pop()
-            a, a_end, b, b_end, err = pairs
-            done = (self._change[a_end - 1] == self._change[a]) & (self._change[b_end - 1] == self._change[b]) & (self.label[a] == self.label[b])
-            pairs = pairs[:, ~done]
-            if pairs.shape[1] > FRONTIER:
-                stack += [(depth, part) for part in np.array_split(pairs, -(-pairs.shape[1] // FRONTIER), axis=1)]
-                continue
-            a, a_end, b, b_end, err = pairs
-            small = (a_end - a) * (b_end - b) <= 32
-            self._leaves(pairs[:, small])
-            a, a_end, b, b_end, err = pairs = pairs[:, ~small]
-            if not pairs.shape[1]:
-                continue
-            a_mid, b_mid, own = self._split(depth, a, a_end), self._split(depth, b, b_end), a == b
-            children = np.concatenate(
-                [
-                    np.stack([a, a_mid, b_mid, b_end, err + 1]),
-                    np.stack([a_mid, a_end, b, b_mid, err + 1])[:, ~own],
-                    np.stack([a, a_mid, b, b_mid, err]),
-                    np.stack([a_mid, a_end, b_mid, b_end, err]),
-                ],
-                axis=1,
-            )
-            alive = (children[4] <= self.errors) & (children[0] < children[1]) & (children[2] < children[3])
-            if depth < 63 and alive.any():
-                stack.append((depth + 1, children[:, alive]))
-            elif alive.any():
-                self._leaves(children[:, alive])
-        return self.links
-
-    def _leaves(self, pairs: np.ndarray) -> None:
-        a, a_end, b, b_end, _ = pairs
-        wide = b_end - b
-        n = (a_end - a) * wide
-        if not n.sum():
-            return
-        k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        width = np.repeat(wide, n)
-        i, j = np.repeat(a, n) + k // width, np.repeat(b, n) + k % width
-        self.link(i[i < j], j[i < j])
-
-
 def _subtries(batches):
     """Runs of equal (block, value, cut) in sorted rows; each is joined with itself."""
     held: list[tuple[np.ndarray, ...]] = []
@@ -205,35 +114,32 @@ def links(classes: DataFrame, hot: int = HOT) -> DataFrame:
     )
 
 
-def _rooted(classes: DataFrame) -> DataFrame:
-    """classes with the root fingerprint of each one's component."""
-    roots = components.components(links(classes.select("fp")))
-    return classes.join(roots, classes["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
-
-
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, fp, component_id of every row."""
     found = _shared.stored(fingerprints(docs, words), "fingerprints")
     classes = _shared.stored(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
-    rooted = _rooted(classes)
+    roots = components.components(links(classes.select("fp"))).withColumnRenamed("node", "fp")
+    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = _shared.stored(rooted.join(least, "root").select("fp", "n", "component_id"), "named")
     total = classes.agg(F.sum("n")).first()[0] or 0
     return _shared.often_first(found, named, ["fp"], "n", total)
 
 
-def deduplicate(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The rows of docs, columns as they are, that stand for their component: the least doc_id, of equal ones any one row.
+def deduplicate(docs: DataFrame, similarity: float = sketches.SIMILARITY) -> DataFrame:
+    """The rows of docs, columns as they are, that stand for their group: the least doc_id, of equal ones any one row.
 
+    Groups are connected by estimated similarities of five-word shingles (see sketches).
     docs must read the same rows in the same order each time, as a written table does.
     """
     numbered = docs.withColumn("vellum_row", F.monotonically_increasing_id())
-    # the fingerprint table carries the row's number in the place of its id
-    found = fingerprints(numbered.select(F.col("vellum_row").alias("doc_id"), "text"), words).withColumnRenamed("doc_id", "row")
-    ids = numbered.select(F.col("vellum_row").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"))
-    found = _shared.stored(found.join(ids, "row"), "fingerprints")
-    classes = _shared.stored(found.groupBy("fp").agg(F.min("id").alias("id"), F.min_by("row", "id").alias("row")), "classes")
-    kept = _shared.stored(_rooted(classes).groupBy("root").agg(F.min_by("row", "id").alias("vellum_row")).select("vellum_row"), "kept")
+    id = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))  # null ids come last
+    found = _shared.stored(sketches.sketched(numbered.select(F.col("vellum_row").alias("row"), id.alias("id"), "text")), "sketches")
+    classes = found.groupBy("node").agg(F.min("id").alias("id"), F.min_by("row", "id").alias("row"))
+    near = sketches.links(found.dropDuplicates(["node"]), similarity)
+    roots = components.components(near).withColumnRenamed("root", "group")
+    grouped = classes.join(roots, "node", "left").groupBy(F.coalesce("group", "node")).agg(F.min_by("row", "id").alias("vellum_row"))
+    kept = _shared.stored(grouped.select("vellum_row"), "kept")
     return numbered.join(kept, "vellum_row", "left_semi").select(*docs.columns)
 
 
