@@ -2,31 +2,30 @@ from collections import defaultdict
 
 import numpy as np
 from test_pii import base_spans
-from test_simhash import by_hand, groups
+from test_sketches import kept
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from vellum.llm import decontaminate, pii, quality, tokens
 
 
-def brute_force(spark, sf_dir, table):
+def brute_force(spark, sf_dir, table, tmp_path):
     """doc_id and text of what should reach the packing stage, by plain loops."""
     rows = sorted(table("documents", "doc_id, text"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     w, own = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), quality.Featuriser()
-    kept = [(d, t) for d, t in rows for at, x in [own.sparse(t or "")] if 1 / (1 + np.exp(-(w[at] @ x))) >= quality.THRESHOLD]
-    seen, one = set(), []
-    for (d, t), root in zip(kept, groups([by_hand(t) for _, t in kept]), strict=True):
-        if root not in seen:
-            seen.add(root)
-            one.append((d, t))
+    good = [(d, t) for d, t in rows for at, x in [own.sparse(t or "")] if 1 / (1 + np.exp(-(w[at] @ x))) >= quality.THRESHOLD]
+    spark.createDataFrame(good, "doc_id long, text string").write.parquet(str(tmp_path / "good"))
+    one = {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, spark.read.parquet(str(tmp_path / "good")), sf_dir).collect()}
+    # similarities are estimated: nothing of 0.85 stays twice, and nothing below 0.72 goes
+    assert kept(good, 0.72) <= one <= kept(good, 0.85)
     items = [decontaminate.words(t) for _, t in table("benchmark", "item_id, text")]
     held = lambda t: any(f" {' '.join(i)} " in t for i in items if i)
-    return [(d, t) for d, t in one if not held(f" {' '.join(decontaminate.words(t))} ")]
+    return [(d, t) for d, t in good if d in one and not held(f" {' '.join(decontaminate.words(t))} ")]
 
 
-def test_run_equals_brute_force(spark, sf_dir, table):
-    want = brute_force(spark, sf_dir, table)
+def test_run_equals_brute_force(spark, sf_dir, table, tmp_path):
+    want = brute_force(spark, sf_dir, table, tmp_path)
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r.doc_id for r in rows} == {d for d, _ in want}
     texts = spark.createDataFrame(want, "doc_id long, text string")

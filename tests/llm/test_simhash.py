@@ -6,6 +6,7 @@ import pytest
 import xxhash
 
 from vellum.llm import components, simhash
+from vellum.llm.trie import Trie
 
 
 def by_hand(text):
@@ -70,7 +71,7 @@ def test_links_keep_every_group(spark, hot):
 def test_dense_group_gives_few_links():
     base = 0x1234_5678_9ABC_DEF0
     keys = np.unique(np.array([base ^ (1 << a) ^ (1 << b) for a in range(48) for b in range(48)], dtype=np.uint64))
-    trie = simhash.Trie(keys, 0, 3)
+    trie = Trie(keys, 0, 3)
     assert len(trie.join(np.array([0]), np.array([len(keys)]))) == len(keys) - 1
 
 

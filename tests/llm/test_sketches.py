@@ -1,0 +1,94 @@
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from vellum.llm import components, sketches
+
+
+def sets(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def kept(rows, similarity):
+    """Ids that stay when texts of at least this exact similarity are joined; the least of each group."""
+    rows = sorted(rows)
+    own, up = [sets(t) for _, t in rows], list(range(len(rows)))
+    where, pairs = {}, Counter()
+    for k, s in enumerate(own):
+        for x in s:
+            for j in where.setdefault(x, []):
+                pairs[j, k] += 1
+            where[x].append(k)
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for (i, j), n in pairs.items():
+        if n >= similarity * (len(own[i]) + len(own[j]) - n):
+            a, b = root(i), root(j)
+            up[max(a, b)] = min(a, b)
+    return {rows[k][0] for k in range(len(rows)) if up[k] == k}
+
+
+def linked(spark, texts, hot=sketches.HOT):
+    df = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "row long, id long, text string")
+    found = sketches.sketched(df)
+    links = sketches.links(found.dropDuplicates(["node"]), hot=hot)
+    root = {r.node: r.root for r in components.components(links).collect()}
+    return [root.get(r.node, r.node) for r in found.orderBy("row").select("node").collect()], links.count()
+
+
+def family(rng, copies, edits, length=300):
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(length)]
+    out = [" ".join(base)]
+    for _ in range(copies):
+        own = list(base)
+        for k in rng.sample(range(length), edits):
+            own[k] = word()
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("hot", [sketches.HOT, 3])
+def test_near_copies_are_linked_and_others_not(spark, hot):
+    rng = random.Random(9)
+    near = [family(rng, 8, 3) for _ in range(10)]  # similarity about 0.9 between a text and its copy
+    far = [family(rng, 4, 60) for _ in range(10)]  # about 0.2
+    flat = [t for f in near + far for t in f]
+    root, _ = linked(spark, flat, hot)
+    at, groups = 0, []
+    for f in near + far:
+        groups.append(root[at : at + len(f)])
+        at += len(f)
+    assert all(len(set(g)) == 1 for g in groups[:10])
+    assert all(len(set(g)) == len(g) for g in groups[10:])
+    assert len(set(root)) == 10 + 50
+
+
+def test_large_group_gives_few_links(spark):
+    rng = random.Random(3)
+    texts = family(rng, 1500, 1, 200)
+    root, links = linked(spark, texts)
+    assert len(set(root)) == 1 and links <= sketches.BANDS * len(texts)
+
+
+def test_words_and_case():
+    a, b, c = sketches.sketch(["The quick  brown\nfox jumps", "the QUICK brown fox jumps", "the quick brown fox"])[1]
+    assert np.array_equal(a, b) and not np.array_equal(a, c)
+    none = sketches.sketch([None, "", " \n"])
+    assert np.array_equal(none[1][0], none[1][2]) and none[0].tolist() == [0, 0, 0]
+
+
+def test_share_of_equal_minima_is_the_similarity():
+    rng = random.Random(4)
+    for edits in (2, 6, 15):
+        a, b = family(rng, 1, edits, 800)
+        exact = len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+        least = sketches.sketch([a, b])[1]
+        assert abs((least[0] == least[1]).mean() - exact) < 0.12
