@@ -47,7 +47,7 @@ WIDE = {
     "email": rf"(?i)(?<!{_LOCAL}){_LOCAL}{{1,64}}+(?:{_AT}|@ | @ ?){_LABEL}{{1,63}}+(?:(?:{_DOT}|\.){_LABEL}{{1,63}}+){{1,5}}+",
     "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[ ._/-]{1,2}[0-9]{3,6}){2,4}+(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+.])(?:00[0-9]{1,3}[ ./-]?)?\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}[0-9]{2,5}){1,4}+(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+.])(?:(?:00|\+)[0-9]{1,3}[ ./-]?)?\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}[0-9]{2,5}){1,4}+(?![0-9A-Za-z])",
 }
 WORDS_NEAR = {
     "near_phone": r"(?i)(?:phone|tel|call|mobile|cell|fax|whatsapp|téléphone|appel|telefon|rufen|teléfono|llam)[^0-9]{0,16}$",
@@ -215,20 +215,22 @@ def _example(rng: random.Random) -> tuple[str, str, bool]:
         at, dot = rng.choice([(" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", "."), (" @ ", ".")])
         x = f"{name()}{at}{name()}{dot}{rng.choice(['com', 'org', 'net', 'de'])}" if good else rng.choice([f"{name()} at {name()}.{name().capitalize()}", f"{name()} at {name()}.{rng.randint(1, 99)}"])
     elif kind == "ip":
-        x = ":".join(f"{rng.randrange(65536):x}" for _ in range(8)) if good else ":".join(_numbers(rng, *[2] * rng.choice([4, 5])))
+        x = ":".join(f"{rng.randrange(rng.choice([16, 4096, 65536])):x}" for _ in range(8)) if good else ":".join(_numbers(rng, *[2] * rng.choice([4, 5])))
     elif kind == "card":
         s = _card(rng)
         x = rng.choice(["  ", "/", ".", "_"]).join(s[k : k + 4] for k in range(0, 16, 4)) if good else sep.join(_numbers(rng, 4, rng.choice([3, 5]), 4, *[4] * rng.randint(0, 1)))
     elif good:
         x = rng.choice([
             "({}) {}-{}".format(*_numbers(rng, 3, 3, 4)), sep.join(_numbers(rng, 3, 3, 4)), "0" + sep.join(_numbers(rng, 1, 2, 2, 2, 2)),
-            "0{}/{}".format(*_numbers(rng, 3, 5)), "0049 " + " ".join(_numbers(rng, 3, 4, 3)),
+            "+{} ({}) {}-{}".format(*_numbers(rng, 1, 3, 3, 4)), "0{}/{}".format(*_numbers(rng, 3, 5)), "0049 " + " ".join(_numbers(rng, 3, 4, 3)),
         ])
     else:
         x = rng.choice([
             f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", "{} {}".format(*_numbers(rng, 2, 3)), "{}/{}".format(*_numbers(rng, 2, 4)),
             "{}.{}.{}".format(*_numbers(rng, 2, 2, 2)), "{}-{}-{}-{}".format(*_numbers(rng, 3, 2, 5, 2)), "{} {} {}".format(*_numbers(rng, 3, 3, 3)),
         ])
+    if x.startswith("+"):  # the numbers that follow hide it from the base pattern
+        return f"the {x} 190.137.223.204 of", x, True
     lead = rng.choice(_LEADS[kind] if good or rng.random() < 0.2 else _LEADS["none"])
     return lead.replace("{x}", x), x, good
 

@@ -2,7 +2,8 @@
 
 A word gives two symbols: itself, and its shape (runs of upper case, lower case, digits
 and each other sign collapsed to one letter). The features are hashed one- and
-two-word grams of both, their counts scaled to length one, and a bias. Training
+two-word grams of both, one gram for a word that follows itself, their counts scaled
+to length one, and a bias. Training
 takes at most SAMPLE labelled rows, those of the smallest id hashes, so that the
 sample is the same at every run; scoring is a sparse dot product over whole texts.
 
@@ -28,10 +29,13 @@ from vellum.llm import _shared
 BITS = 18
 SAMPLE = 8000
 EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.01, 0.1
+ALPHA, BETA, L1, L2 = 4.0, 1.0, 0.1, 0.0
 THRESHOLD = 0.3
 
 
+_AGAIN = np.uint64(xxhash.xxh64_intdigest("a word and the same word", 3))
+
+
 def shape(word: str) -> str:
     letters = lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "Aa" if m[0][0].isupper() else "a"
     out = re.sub(r"[^\W\d_]+", letters, word[:400])
@@ -60,6 +64,8 @@ class Featuriser:
         own = np.array(list(map(self._word, words)), dtype=np.uint64)
         left, right = own[:-1], own[1:]
         grams = np.concatenate([own.ravel(), (left * np.uint64(0x9E3779B97F4A7C15) + right * np.uint64(0xC2B2AE3D27D4EB4F)).ravel()])
+        again = np.full(int((left[:, 0] == right[:, 0]).sum()), _AGAIN)
+        grams = np.concatenate([grams, again])
         grams ^= grams >> np.uint64(29)
         return np.maximum(grams & self.mask, np.uint64(1)).astype(np.int64)
 
