@@ -63,7 +63,7 @@ def test_query_equals_brute_force(spark, sf_dir, table):
 
 ADDED = [
     ("call (564) 555-4526 now", "call [PHONE] now"), ("tel. 030 1234 5678", "tel. [PHONE]"), ("mail jane [at] corp [dot] org please", "mail [EMAIL] please"), ("card 4111/1111/1111/1111 was", "card [CARD] was"),
-    ("host 2001:db8:85a3:1f:ab:8a2e:370:7334 is up", "host [IP] is up"), ("on 2024-01-02 we met", None), ("order 123 456 shipped", None), ("time 12:30:45 am", None), ("total 1.5 and 2", None), ("we met at noon. Then", None),
+    ("host 2001:db8:85a3:1f:ab:8a2e:370:7334 is up", "host [IP] is up"), ("Des +1 (826) 555-4081 190.137.223.204 du", "Des [PHONE] [IP] du"), ("host 2001:db8:0:1:1:1:1:1 is up", "host [IP] is up"), ("on 2024-01-02 we met", None), ("order 123 456 shipped", None), ("time 12:30:45 am", None), ("total 1.5 and 2", None), ("we met at noon. Then", None),
 ]
 
 
