@@ -140,7 +140,7 @@ def deduplicate(docs: DataFrame, similarity: float = sketches.SIMILARITY) -> Dat
     roots = components.components(near).withColumnRenamed("root", "group")
     grouped = classes.join(roots, "node", "left").groupBy(F.coalesce("group", "node")).agg(F.min_by("row", "id").alias("vellum_row"))
     kept = _shared.stored(grouped.select("vellum_row"), "kept")
-    return numbered.join(kept, "vellum_row", "left_semi").select(*docs.columns)
+    return numbered.join(kept.hint("merge"), "vellum_row", "left_semi").select(*docs.columns)
 
 
 def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
