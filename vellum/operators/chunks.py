@@ -16,8 +16,7 @@ _MARK = "array<struct<at: int, path: array<struct<level: int, title: string>>>>"
 
 
 def lines_of(body: Column) -> Column:
-    found = F.split(body, "\n")
-    return F.when(F.element_at(found, -1) == "", F.slice(found, 1, F.size(found) - 1)).otherwise(found)
+    return _let(F.split(body, "\n"), lambda found: F.when(F.element_at(found, -1) == "", F.slice(found, 1, F.size(found) - 1)).otherwise(found))
 
 
 def _headings(lines: Column) -> Column:
@@ -41,26 +40,29 @@ def _headings(lines: Column) -> Column:
 def chunks(body: Column, lines_before: Column) -> Column:
     """The chunks of a body whose first line is the file's line lines_before + 1; null for a null body."""
 
-    def cut(lines: Column) -> Column:
+    def cut(note: Column) -> Column:
+        lines, offset = note["lines"], note["offset"]
+
         def at(found: Column) -> Column:
             first = F.coalesce(F.try_element_at(found, F.lit(1))["at"], F.size(lines))
             lead = F.struct(F.lit(0).alias("from"), first.alias("to"), F.array().cast("array<string>").alias("heading_path"))
             own = F.transform(found, lambda h, i: F.struct(h["at"].alias("from"), F.coalesce(F.get(found, i + 1)["at"], F.size(lines)).alias("to"), F.transform(h["path"], lambda p: p["title"]).alias("heading_path")))
-            spans = F.concat(F.array(lead), own)
             rows = F.transform(
-                spans,
+                F.concat(F.array(lead), own),
                 lambda s: F.struct(
                     F.array_join(F.slice(lines, s["from"] + 1, s["to"] - s["from"]), "\n").alias("text"),
                     s["heading_path"].alias("heading_path"),
-                    (lines_before + s["from"] + 1).cast("int").alias("start_line"),
-                    (lines_before + s["to"]).cast("int").alias("end_line"),
+                    (offset + s["from"] + 1).cast("int").alias("start_line"),
+                    (offset + s["to"]).cast("int").alias("end_line"),
                 ),
             )
             return F.filter(rows, lambda c: (F.size(c["heading_path"]) > 0) | F.rlike(c["text"], F.lit(r"\S")))
 
         return _let(_headings(lines), at)
 
-    return F.when(body.isNotNull(), _let(lines_of(body), cut)).cast(TYPE)
+    # both are bound once: what a lambda takes from outside would be worked out again for each element
+    note = F.struct(lines_of(body).alias("lines"), lines_before.alias("offset"))
+    return F.when(body.isNotNull(), _let(note, cut)).cast(TYPE)
 
 
 def _let(value: Column, body) -> Column:
