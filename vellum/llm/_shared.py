@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -44,6 +45,13 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches in parts of at most ``rows`` rows, so that little is held as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def fold(key: Column, folds: int = 5) -> Column:
     """crc32 of the key as text, modulo folds; a null key counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
@@ -55,51 +63,39 @@ def whole_text(column: str = "text") -> Column:
 
 @dataclass(frozen=True)
 class Ranges:
-    """Runs of ascending keys of near-equal row counts, found from a histogram of equal cells.
-
-    The histogram has at most ``cells`` rows whatever the table's size, and only
-    the key column is read for it.
-    """
+    """Runs of ascending keys of near-equal row counts, and the least key that each one holds."""
 
-    low: int
-    width: int
-    bucket_of_cell: tuple[int, ...]
-    first_keys: tuple[int, ...]
+    starts: tuple[int, ...]
+    first_keys: tuple[int, ...] = ()
 
     @property
     def count(self) -> int:
-        return max(1, len(self.first_keys))
+        return max(1, len(self.starts))
 
     def bucket(self, key: str) -> Column:
-        if self.count == 1:
-            return F.lit(0)
-        cells = F.split(F.lit(",".join(map(str, self.bucket_of_cell))), ",").cast("array<int>")
-        offset = F.coalesce(F.col(key), F.lit(self.low)).cast("decimal(20,0)") - F.lit(self.low).cast("decimal(20,0)")
-        return F.element_at(cells, (F.floor(offset / F.lit(self.width).cast("decimal(20,0)")) + 1).cast("int"))
+        """The number of the key's range, found among every m-th start and then among m of them; null keys are in the first."""
+        m = max(1, math.isqrt(self.count))
+        longs = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+        reached = lambda starts: F.size(F.filter(starts, lambda s: s <= F.col(key)))
+        coarse = F.greatest(reached(longs(self.starts[::m])), F.lit(1))
+        fine = F.greatest(reached(F.slice(longs(self.starts), (coarse - 1) * m + 1, F.lit(m))), F.lit(1))
+        return F.when(F.col(key).isNull(), 0).otherwise((coarse - 1) * m + fine - 1).cast("int")
 
 
 def key_ranges(df: DataFrame, key: str, buckets: int) -> Ranges:
-    """Cut df into at most ``buckets`` ranges of an integer key; null keys count as the smallest."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
+    """Cut df into at most ``buckets`` ranges of an integer key, by approximate quantiles. Only the key column is read.
+
+    What comes to the driver is two numbers a range, however sparse or clustered the keys are.
+    """
+    shares = [k / buckets for k in range(1, buckets)]
+    wanted = F.percentile_approx(key, shares or [0.5], min(1_000_000, max(10_000, 100 * buckets)))
+    low, found = df.agg(F.min(key), wanted).first()
     if low is None:
-        return Ranges(0, 1, (0,), (0,))
-    cells = min(65536, 16 * buckets)
-    width = (high - low) // cells + 1
-    cell = F.floor((F.col(key).cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)"))
-    found = sorted(
-        (int(c), n, k)
-        for c, n, k in df.where(F.col(key).isNotNull()).groupBy(cell.alias("cell")).agg(F.count("*"), F.min(key)).collect()
-    )
-    share = sum(n for _, n, _ in found) / buckets
-    of_cell, firsts, held, last = [], [], share, -1
-    for c, n, k in found:
-        if held >= share:
-            firsts.append(k)
-            held = held - share if held < 2 * share else 0
-        held += n
-        of_cell += [max(0, len(firsts) - 1 if c == last + 1 else len(firsts) - 1)] * (c - last)
-        last = c
-    return Ranges(low, width, tuple(of_cell), tuple(firsts))
+        return Ranges((0,))
+    starts = Ranges(tuple(sorted({low, *(found if shares else ())})))
+    # a start may be above all keys of its range only if it is itself a key, so every range has rows
+    firsts = df.where(F.col(key).isNotNull()).groupBy(starts.bucket(key).alias("bucket")).agg(F.min(key).alias("first")).collect()
+    return Ranges(starts.starts, tuple(r["first"] for r in sorted(firsts, key=lambda r: r["bucket"])))
 
 
 def often_first(rows: DataFrame, classes: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:

@@ -186,11 +186,10 @@ def matcher(docs: DataFrame, block: Block) -> Matcher:
     def rows(batches):
         own = shared.value
         counts, total = np.zeros(len(own.at), dtype=np.int64), 0
-        for batch in batches:
-            for k in range(0, batch.num_rows, DOCUMENTS):
-                flat, _ = own.local(batch.column("text").slice(k, DOCUMENTS).to_pylist())
-                counts += np.bincount(flat[flat >= 0], minlength=len(counts))
-                total += len(flat)
+        for part in _shared.slices(batches, DOCUMENTS):
+            flat, _ = own.local(part.column("text").to_pylist())
+            counts += np.bincount(flat[flat >= 0], minlength=len(counts))
+            total += len(flat)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(counts[some], total))], names=["word", "n"])
 
@@ -203,12 +202,6 @@ def matcher(docs: DataFrame, block: Block) -> Matcher:
     return Matcher(block, counts, total)
 
 
-def _slices(batches):
-    for batch in batches:
-        for k in range(0, batch.num_rows, DOCUMENTS):
-            yield batch.slice(k, DOCUMENTS)
-
-
 PAIRS = "doc_id long, item_id long, score double, seeds int, end_word long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("seeds", pa.int32()), ("end_word", pa.int64())])
 
@@ -222,7 +215,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def rows(batches, shared=shared):
             own = shared.value
-            for part in _slices(batches):
+            for part in _shared.slices(batches, DOCUMENTS):
                 found = own.match(part.column("text").to_pylist())
                 pairs = [(d, own.item_ids[m.item], m.score, m.seeds, m.end) for d, ms in zip(part.column("doc_id").to_pylist(), found, strict=True) for m in ms]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pairs, strict=True) if pairs else [[]] * 5, ARROW, strict=True)], schema=ARROW)
@@ -238,7 +231,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def rows(batches, shared=shared):
             own = shared.value
-            for part in _slices(batches):
+            for part in _shared.slices(batches, DOCUMENTS):
                 yield part.filter(pa.array([not ms for ms in own.match(part.column("text").to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(rows, docs.schema)

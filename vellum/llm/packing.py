@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) ->
 
     def rows(batches):
         model = tokens.encoder(path)
-        for batch in batches:
+        for batch in _shared.slices(batches):
             out = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), model.encode(batch.column("text").to_pylist()), strict=True):
                 ids += end

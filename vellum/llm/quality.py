@@ -140,7 +140,7 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS, name: str = "v
 
     def rows(batches):
         w, own = shared.value, _featuriser(bits)
-        for batch in batches:
+        for batch in _shared.slices(batches):
             out = []
             for text in batch.column("text").to_pylist():
                 at = own(text or "")

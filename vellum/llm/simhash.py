@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id and its 64-bit fingerprint as a signed long."""
 
     def rows(batches):
-        for batch in batches:
+        for batch in _shared.slices(batches):
             found = np.array([fingerprint(t or "", words) for t in batch.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 

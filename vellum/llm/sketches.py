@@ -76,17 +76,15 @@ def sketched(texts: DataFrame) -> DataFrame:
     """texts(row, id, text) as row, id, node, fp, bands, cuts, signature; equal sketches have one node."""
 
     def rows(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, DOCUMENTS):
-                part = batch.slice(k, DOCUMENTS)
-                fp, least = sketch(part.column("text").to_pylist())
-                node = [xxhash.xxh64_intdigest(a.tobytes(), int(b) & 0xFFFFFFFF) for a, b in zip(least, fp, strict=True)]
-                signature = ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
-                columns = [
-                    part.column("row"), part.column("id"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(fp.view(np.int64)),
-                    pa.array(_keys(least, 0).tolist(), pa.list_(pa.int64())), pa.array(_keys(least, BANDS * ROWS).tolist(), pa.list_(pa.int64())), pa.array([x.tobytes() for x in signature], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "node", "fp", "bands", "cuts", "signature"])
+        for part in _shared.slices(batches, DOCUMENTS):
+            fp, least = sketch(part.column("text").to_pylist())
+            node = [xxhash.xxh64_intdigest(a.tobytes(), int(b) & 0xFFFFFFFF) for a, b in zip(least, fp, strict=True)]
+            signature = ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
+            columns = [
+                part.column("row"), part.column("id"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(fp.view(np.int64)),
+                pa.array(_keys(least, 0).tolist(), pa.list_(pa.int64())), pa.array(_keys(least, BANDS * ROWS).tolist(), pa.list_(pa.int64())), pa.array([x.tobytes() for x in signature], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "node", "fp", "bands", "cuts", "signature"])
 
     return texts.select("row", "id", "text").mapInArrow(rows, "row long, id long, node long, fp long, bands array<long>, cuts array<long>, signature binary")
 

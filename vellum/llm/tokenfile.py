@@ -42,7 +42,7 @@ def token_table(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
         model = tokens.encoder(path)
         width = "<u2" if model.vocabulary <= 1 << 16 else "<u4"
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in _shared.slices(batches):
             ids = [np.frombuffer(x + end, "<u4").astype(width).tobytes() for x in model.encode(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -89,7 +89,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None)
     def coded(batches):
         book = huffman.Codebook(lengths)
         for batch in batches:
-            for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
+            for part in _shared.slices([batch], 512):
                 flat, counts = _flat(part.column("ids"), width)
                 data, byte, at = book.encode(flat, counts)
                 stops = np.concatenate([[0], np.cumsum(huffman.checkpoints(counts))])

@@ -11,7 +11,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-FRONTIER = 200_000
+FRONTIER = 20_000
+PAIRS = 100_000
 
 
 class Trie:
@@ -39,7 +40,7 @@ class Trie:
         near &= self.label[i] != self.label[j]
         if self._agree and near.any():
             at = np.flatnonzero(near)
-            near[at] = self._agree(i[at], j[at])
+            near[at] = np.concatenate([self._agree(i[at[k : k + PAIRS]], j[at[k : k + PAIRS]]) for k in range(0, len(at), PAIRS)])
         if not near.any():
             return
         for a, b in zip(i[near].tolist(), j[near].tolist(), strict=True):
@@ -54,7 +55,7 @@ class Trie:
     def _split(self, depth: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         if depth not in self._zeros:
             bit = (self.keys >> np.uint64(63 - depth)) & np.uint64(1)
-            self._zeros[depth] = np.concatenate([[0], np.cumsum(bit == 0)])
+            self._zeros[depth] = np.concatenate([[0], np.cumsum(bit == 0, dtype=np.int32)])
         zeros = self._zeros[depth]
         return lo + zeros[hi] - zeros[lo]
 
