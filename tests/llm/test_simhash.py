@@ -75,7 +75,9 @@ def test_dense_group_gives_few_links():
     assert len(trie.join(np.array([0]), np.array([len(keys)]))) == len(keys) - 1
 
 
-def test_components_of_random_links(spark):
+@pytest.mark.parametrize("part", [500_000, 40])
+def test_components_of_random_links(spark, monkeypatch, part):
+    monkeypatch.setattr(components, "PART", part)
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, k) for k in range(2001, 2100)] + [(5, 5)]
     up = {}
