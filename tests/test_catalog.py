@@ -117,5 +117,11 @@ def test_usage_errors(run, tmp_path):
     assert "init" in run("repo")[1]
 
 
+def test_repo_json(spark, tmp_path):
+    catalog.init(str(tmp_path), "/x", "one")
+    row = json.loads(catalog.repos(spark, str(tmp_path)).select(sinks.repo_json().alias("j")).first().j)
+    assert list(row) == ["application", "name", "directory", "config", "db"] and row["name"] == "one"
+
+
 def test_aligned():
     assert sinks.aligned(["A", "BB"], [("xxx", "y")]) == "A    BB\nxxx  y\n"

@@ -20,6 +20,11 @@ def document_json(documents: DataFrame) -> Column:
     return F.to_json(F.struct(*[F.col(own).alias(name) for name, own in DOCUMENT_FIELDS if own in documents.columns]), JSON)
 
 
+def repo_json() -> Column:
+    """One repository as JSON, in the order of its fields."""
+    return F.to_json(F.struct("application", "name", "directory", "config", "db"), JSON)
+
+
 def repos_json(repos: DataFrame) -> DataFrame:
     """One row: the catalog by name as a JSON array, [] if it is empty."""
     item = F.struct(F.col("name"), F.struct("application", "name", "directory", "config", "db").alias("item"))
