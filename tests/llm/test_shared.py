@@ -29,3 +29,15 @@ def test_hot_keys_are_joined_apart(spark):
     classes = rows.groupBy("k").agg(F.count("*").alias("n"), (F.max("k") * 2).alias("v"))
     out = _shared.often_first(rows, classes, ["k"], "n", 5000)
     assert out.count() == 5000 and out.where("v <> 2 * k").count() == 0
+
+
+def test_scratch_tables_can_be_discarded(spark, tmp_path):
+    old = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        assert _shared.stored(spark.range(3), "x").count() == 3
+        assert list(tmp_path.iterdir())
+        _shared.discard(spark)
+        assert not list(tmp_path.iterdir())
+    finally:
+        spark.conf.set("spark.checkpoint.dir", old) if old else spark.conf.unset("spark.checkpoint.dir")

@@ -41,6 +41,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Delete every scratch table of this package in the shared folder. No result that still reads one survives this."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/vellum")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

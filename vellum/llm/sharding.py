@@ -48,13 +48,12 @@ class SlotMap:
 
 
 def first_map(loads: dict[int, int], shards: int, slots: int = SLOTS) -> SlotMap:
-    """Version 1: heaviest slots first, each to the shard with the fewest bytes so far."""
-    heap = [(0, 0, k) for k in range(shards)]
-    shard_of = [0] * slots
-    for slot in sorted(range(slots), key=lambda s: (-loads.get(s, 0), s)):
-        used, n, k = heapq.heappop(heap)
-        shard_of[slot] = k
-        heapq.heappush(heap, (used + loads.get(slot, 0), n + 1, k))
+    """Version 1: heaviest slots first, each to the shard with the fewest bytes so far; empty slots are dealt in turn."""
+    heap = [(0, k) for k in range(shards)]
+    shard_of = [slot % shards for slot in range(slots)]
+    for slot in sorted((s for s in range(slots) if loads.get(s)), key=lambda s: (-loads[s], s)):
+        used, shard_of[slot] = heapq.heappop(heap)
+        heapq.heappush(heap, (used + loads[slot], shard_of[slot]))
     return SlotMap(tuple(shard_of), shards)
 
 
