@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from vellum.llm import _shared
@@ -31,13 +32,31 @@ def test_hot_keys_are_joined_apart(spark):
     assert out.count() == 5000 and out.where("v <> 2 * k").count() == 0
 
 
-def test_scratch_tables_can_be_discarded(spark, tmp_path):
-    old = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert _shared.stored(spark.range(3), "x").count() == 3
-        assert list(tmp_path.iterdir())
-        _shared.discard(spark)
-        assert not list(tmp_path.iterdir())
-    finally:
-        spark.conf.set("spark.checkpoint.dir", old) if old else spark.conf.unset("spark.checkpoint.dir")
+def test_scratch_tables_can_be_discarded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(_shared, "shared_dir", lambda _: str(tmp_path))
+    assert _shared.stored(spark.range(3), "x").count() == 3
+    assert list(tmp_path.iterdir())
+    _shared.discard(spark)
+    assert not list(tmp_path.iterdir())
+
+
+class Session:
+    """As much of a session as shared_dir reads."""
+
+    def __init__(self, named, master):
+        self.sparkContext = self.conf = self
+        self.named, self.master, self.applicationId = named, master, "app"
+
+    def get(self, key, default=None):
+        return self.named
+
+    def getConf(self):
+        return self
+
+
+def test_shared_folder(tmp_path):
+    assert _shared.shared_dir(Session("file:///x/", "yarn")) == "file:///x"
+    own = _shared.shared_dir(Session(None, "local[4]"))
+    assert own and own == _shared.shared_dir(Session(None, "local[4]"))
+    with pytest.raises(RuntimeError):
+        _shared.shared_dir(Session(None, "local-cluster[3,2,1000]"))

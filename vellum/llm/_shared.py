@@ -15,19 +15,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor see.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in local tests, a temporary folder of this machine is chosen and set.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all
+    runs on this machine, as in local tests, a temporary folder stands in for it.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="vellum-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="vellum-")
+    return _OWN[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
