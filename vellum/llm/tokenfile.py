@@ -36,17 +36,26 @@ def _least(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def token_table(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
-    """doc_id, ids of each whole text, 16 bits each where the vocabulary allows."""
+    """doc_id and ids of each whole text, 16 bits each where the vocabulary allows, as they are met.
+
+    Every task adds one last row that has counts only: how often it met each id.
+    """
 
     def rows(batches):
         model = tokens.encoder(path)
         width = "<u2" if model.vocabulary <= 1 << 16 else "<u4"
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        total = np.zeros(model.vocabulary, dtype=np.int64)
         for batch in _shared.slices(batches):
-            ids = [np.frombuffer(x + end, "<u4").astype(width).tobytes() for x in model.encode(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            ids = [np.frombuffer(x + end, "<u4").astype(width) for x in model.encode(batch.column("text").to_pylist())]
+            total += np.bincount(np.concatenate(ids), minlength=len(total))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+        used = np.flatnonzero(total)
+        counts = np.stack([used, total[used]]).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, ids binary")
+    names = ["doc_id", "ids", "counts"]
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, ids binary, counts binary")
 
 
 def _flat(column: pa.Array, width: str) -> tuple[np.ndarray, np.ndarray]:
@@ -55,18 +64,17 @@ def _flat(column: pa.Array, width: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), width), np.array([len(x) // size for x in parts], dtype=np.int64)
 
 
-def id_counts(ids: DataFrame, width: str, vocabulary: int) -> np.ndarray:
-    """How often each id occurs in the whole table; one row for each id and task is shuffled."""
+def id_counts(table: DataFrame, vocabulary: int) -> np.ndarray:
+    """How often each id occurs in all texts, from the counts of the tasks; at most a vocabulary of rows comes back."""
 
     def rows(batches):
-        total = np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
-            total += np.bincount(_flat(batch.column("ids"), width)[0], minlength=vocabulary)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
+            for found in batch.column("counts").to_pylist():
+                used, n = np.frombuffer(found, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n)], names=["id", "n"])
 
     out = np.zeros(vocabulary, dtype=np.int64)
-    for r in ids.select("ids").mapInArrow(rows, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in table.where(F.col("counts").isNotNull()).select("counts").mapInArrow(rows, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
@@ -80,8 +88,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None)
     spark = docs.sparkSession
     model = tokens.encoder(tokenizer)
     width, vocabulary = ("<u2" if model.vocabulary <= 1 << 16 else "<u4"), model.vocabulary
-    ids = _shared.stored(token_table(docs, tokenizer, end_id), "ids")
-    lengths = huffman.code_lengths(id_counts(ids, width, vocabulary))
+    table = _shared.stored(token_table(docs, tokenizer, end_id), "ids")
+    lengths = huffman.code_lengths(id_counts(table, vocabulary))
+    ids = table.where(F.col("counts").isNull()).select("doc_id", "ids")
     ranges = _shared.key_ranges(ids, "doc_id", _shared.partitions(spark))
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "id int, bits int").coalesce(1).write.parquet(f"{path}/codebook")

@@ -17,8 +17,6 @@ says so. Equal urls are pages of their own. An empty table gives no rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,7 +89,7 @@ def template_tree(labelled: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, template, rate of every page."""
+    """page_id, host, path, rule, verdict, template, rate of every page; labelled must have a row for each of their paths."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     read = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("way", F.array_join(segments(F.col("path")), "/"))
     tree = _shared.stored(template_tree(labelled), "templates")
