@@ -88,7 +88,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None)
     spark = docs.sparkSession
     model = tokens.encoder(tokenizer)
     width, vocabulary = ("<u2" if model.vocabulary <= 1 << 16 else "<u4"), model.vocabulary
-    table = _shared.stored(token_table(docs, tokenizer, end_id), "ids")
+    table = _shared.stored(token_table(docs, tokenizer, end_id), "ids", "snappy")
     lengths = huffman.code_lengths(id_counts(table, vocabulary))
     ids = table.where(F.col("counts").isNull()).select("doc_id", "ids")
     ranges = _shared.key_ranges(ids, "doc_id", _shared.partitions(spark))
