@@ -92,3 +92,15 @@ def test_share_of_equal_minima_is_the_similarity():
         exact = len(sets(a) & sets(b)) / len(sets(a) | sets(b))
         least = sketches.sketch([a, b])[1]
         assert abs((least[0] == least[1]).mean() - exact) < 0.12
+
+
+def test_copies_that_differ_in_repeats_only_are_linked(spark):
+    rng = random.Random(6)
+    pairs = []
+    for _ in range(8):
+        base = family(rng, 0, 0)[0].split()
+        line = base[100:112]
+        pairs += [" ".join(base), " ".join(base[:112] + line * 99 + base[112:])]
+    assert all(len(sets(a) & sets(b)) >= 0.95 * len(sets(a) | sets(b)) for a, b in zip(pairs[::2], pairs[1::2], strict=True))
+    root, _ = linked(spark, pairs)
+    assert root[::2] == root[1::2] and len(set(root)) == 8

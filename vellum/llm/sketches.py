@@ -54,9 +54,19 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.array([len(x) for x in out])
 
 
-def sketch(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' SimHashes, and their least hashes (a row for each text)."""
+def distinct(texts: list[str | None]) -> list[np.ndarray]:
+    """The set of each text's shingles, sorted: how often one occurs does not count, as in the similarity."""
     flat, sizes = shingles(texts)
+    return [np.unique(x) for x in np.split(flat, np.cumsum(sizes)[:-1])]
+
+
+def sketch(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The SimHashes of the texts' sets of shingles, and their least hashes (a row for each text)."""
+    return _sketch(distinct(texts))
+
+
+def _sketch(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    flat, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
     start = np.cumsum(sizes) - sizes
     least = np.stack([np.minimum.reduceat((flat ^ (flat >> np.uint64(29))) * m, start) for m in _MIX], axis=1)
     bits = np.unpackbits(flat.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
