@@ -104,3 +104,17 @@ def test_copies_that_differ_in_repeats_only_are_linked(spark):
     assert all(len(sets(a) & sets(b)) >= 0.95 * len(sets(a) | sets(b)) for a, b in zip(pairs[::2], pairs[1::2], strict=True))
     root, _ = linked(spark, pairs)
     assert root[::2] == root[1::2] and len(set(root)) == 8
+
+
+@pytest.mark.parametrize("hot", [sketches.HOT, 7])
+def test_links_are_those_of_the_exact_similarity(spark, hot):
+    rng = random.Random(12)
+    # chains of families about 0.8, where an estimate errs on both sides
+    texts = [t for length in (30, 60, 150, 300) for _ in range(6) for edits in (1 + length // 60, 1 + length // 45) for t in family(rng, 5, edits, length)]
+    want = kept(list(enumerate(texts)), 0.8)
+    assert len(kept(list(enumerate(texts)), 0.83)) > len(want) > len(kept(list(enumerate(texts)), 0.77))
+    root, _ = linked(spark, texts, hot)
+    least = {}
+    for k, r in enumerate(root):
+        least.setdefault(r, k)
+    assert set(least.values()) == want

@@ -129,7 +129,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def deduplicate(docs: DataFrame, similarity: float = sketches.SIMILARITY) -> DataFrame:
     """The rows of docs, columns as they are, that stand for their group: the least doc_id, of equal ones any one row.
 
-    Groups are connected by estimated similarities of five-word shingles (see sketches).
+    Groups are connected by exact similarities of five-word shingles (see sketches).
     docs must read the same rows in the same order each time, as a written table does.
     """
     numbered = docs.withColumn("vellum_row", F.monotonically_increasing_id())

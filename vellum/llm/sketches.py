@@ -1,12 +1,15 @@
 """Similarity of texts by five-word shingles, for near-duplicate groups at a stated similarity.
 
-A sketch is a 64-bit SimHash and MINIMA least hashes of a text's shingles. Texts of
-Jaccard similarity s agree on each of BANDS keys of ROWS least hashes with probability s ** ROWS,
-which at 0.8 leaves one pair in 330 without a common key. Texts of a common key
-are joined by the binary trie of their SimHashes, with a budget of ERRORS bits that
-similarities of 0.8 keep; a pair within it links if the share of equal least hashes
-reaches the similarity less TOLERANCE, a standard error of that share. Keys shared by too many texts are
-cut by BANDS further keys of other least hashes.
+A sketch is a 64-bit SimHash and MINIMA least hashes of a text's set of shingles; it only proposes.
+Texts of Jaccard similarity s agree on each of BANDS keys of ROWS least hashes with probability
+s ** ROWS, which at 0.8 leaves one pair in 1.7 million without a common key. Texts of a common key
+are joined by the binary trie of their SimHashes with a budget of ERRORS bits, and a pair within it is a
+candidate if the share of equal least hashes reaches the similarity less MARGIN, five standard
+errors of that share. Every pair of texts that candidates connect is then held to the similarity of
+the sets of shingles themselves, unless links of that similarity connect the two already.
+
+Keys shared by more than HOT texts, and candidate groups of more than GROUP texts, are dealt in parts, and
+each two parts meet in one task: no task grows with a group, and no pair is left out.
 """
 
 from __future__ import annotations
@@ -17,16 +20,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm import _shared
+from vellum.llm import _shared, components
 from vellum.llm.trie import Trie
 
 WORDS = 5
 SIMILARITY = 0.8
-TOLERANCE = 0.02
+MARGIN = 0.13
 MINIMA = 256
-BANDS, ROWS = 8, 3
-ERRORS = 18
+BANDS, ROWS = 20, 3
+ERRORS = 32
 HOT = 20_000
+GROUP = 2_000
 DOCUMENTS = 400
 BATCH = 60_000
 
@@ -74,60 +78,93 @@ def _sketch(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel(), least
 
 
-def _keys(least: np.ndarray, first: int) -> np.ndarray:
-    """BANDS keys of each text from the least hashes from ``first`` on."""
+def _keys(least: np.ndarray) -> np.ndarray:
+    """BANDS keys of each text."""
     out = np.zeros((len(least), BANDS), np.uint64)
     for k in range(ROWS):
-        out = (out ^ (out >> np.uint64(31))) * _PLACE[k] + least[:, first + k : first + k + BANDS * ROWS : ROWS]
+        out = (out ^ (out >> np.uint64(31))) * _PLACE[k] + least[:, k : k + BANDS * ROWS : ROWS]
     return out.view(np.int64)
 
 
 def sketched(texts: DataFrame) -> DataFrame:
-    """texts(row, id, text) as row, id, node, fp, bands, cuts, signature; equal sketches have one node."""
+    """texts(row, id, text) as row, id, node, fp, bands, signature, text; equal sets of shingles have one node."""
 
     def rows(batches):
         for part in _shared.slices(batches, DOCUMENTS):
-            fp, least = sketch(part.column("text").to_pylist())
-            node = [xxhash.xxh64_intdigest(a.tobytes(), int(b) & 0xFFFFFFFF) for a, b in zip(least, fp, strict=True)]
+            sets = distinct(part.column("text").to_pylist())
+            fp, least = _sketch(sets)
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64)
             signature = ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
             columns = [
-                part.column("row"), part.column("id"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(fp.view(np.int64)),
-                pa.array(_keys(least, 0).tolist(), pa.list_(pa.int64())), pa.array(_keys(least, BANDS * ROWS).tolist(), pa.list_(pa.int64())), pa.array([x.tobytes() for x in signature], pa.binary()),
+                part.column("row"), part.column("id"), pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)),
+                pa.array(_keys(least).tolist(), pa.list_(pa.int64())), pa.array([x.tobytes() for x in signature], pa.binary()), part.column("text"),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "node", "fp", "bands", "cuts", "signature"])
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "node", "fp", "bands", "signature", "text"])
 
-    return texts.select("row", "id", "text").mapInArrow(rows, "row long, id long, node long, fp long, bands array<long>, cuts array<long>, signature binary")
+    return texts.select("row", "id", "text").mapInArrow(rows, "row long, id long, node long, fp long, bands array<long>, signature binary, text string")
 
 
-def links(nodes: DataFrame, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
-    """Links (a, b) that connect all nodes of estimated similarity; nodes has distinct node."""
-    rows = nodes.select("node", "fp", "signature", "cuts", F.posexplode("bands").alias("band", "key"))
-    counts = nodes.select(F.posexplode("bands").alias("band", "key")).groupBy("band", "key").agg(F.count("*").alias("n"))
-    # fewer than 100,000 keys can have over a hundred-thousandth of all rows each
-    total = nodes.count() * BANDS
-    large = counts.where(F.col("n") > max(hot, total // 100_000)).select("band", "key", F.lit(True).alias("large"))
-    whole = F.array(F.struct(F.lit(-1).alias("cut"), F.lit(0).cast("long").alias("part")))
-    parts = F.transform("cuts", lambda c, k: F.struct(k.cast("int").alias("cut"), c.alias("part")))
-    dealt = rows.join(F.broadcast(large), ["band", "key"], "left").select("node", "fp", "signature", "band", "key", F.explode(F.when(F.col("large"), parts).otherwise(whole)).alias("x"))
+def _dealt(rows: DataFrame, keys: list[str], most: int, columns: list[str]) -> DataFrame:
+    """rows, which have the number n of their key's rows, in tasks' order: key, part, other part, SimHash.
+
+    Keys of more than ``most`` rows are dealt in parts of about that many by node; a row goes to each
+    two parts of which one is its own.
+    """
+    parts = F.ceil(F.col("n") / most).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    others = F.filter(F.sequence(F.lit(0), parts - 1), lambda k: (parts == 1) | (k != own))
+    both = F.transform(others, lambda k: F.struct(F.least(k, own).alias("part"), F.greatest(k, own).alias("other")))
     order = F.col("fp").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))  # signed order as the trie's
-    return (
-        dealt.select("band", "key", "x.cut", "x.part", order.alias("fp"), "node", "signature")
-        .repartition(_shared.partitions(nodes.sparkSession), "band", "key", "cut", "part")
-        .sortWithinPartitions("band", "key", "cut", "part", "fp")
-        .mapInArrow(_joined(similarity - TOLERANCE), "a long, b long")
-    )
+    dealt = rows.select(*keys, "fp", *columns, F.explode(both).alias("x")).select(*keys, "x.part", "x.other", order.alias("fp"), *columns)
+    by = [*keys, "part", "other"]
+    return dealt.repartition(_shared.partitions(rows.sparkSession), *by).sortWithinPartitions(*by, "fp")
+
+
+def candidates(nodes: DataFrame, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
+    """Links (a, b) that connect all nodes whose sketches may be of the similarity; nodes has distinct node."""
+    keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    counts = _shared.stored(keys.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1).withColumn("total", F.col("n")), "keys")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # only keys that several nodes have take the sketches along
+    shared = _shared.often_first(keys, counts, ["band", "key"], "n", total).groupBy("node").agg(F.collect_list(F.struct("band", "key", F.col("total").alias("n"))).alias("x"))
+    rows = nodes.select("node", "fp", "signature").join(shared, "node").select("node", "fp", "signature", F.inline("x"))
+    return _dealt(rows, ["band", "key"], hot, ["node", "signature"]).mapInArrow(_joined(2, similarity - MARGIN), "a long, b long")
+
+
+def links(nodes: DataFrame, similarity: float = SIMILARITY, hot: int = HOT, group: int = GROUP) -> DataFrame:
+    """Links (a, b), each of the similarity, that connect all nodes that have it; nodes has distinct node."""
+    group = min(group, hot)
+    roots = _shared.stored(components.components(candidates(nodes, similarity, hot)).withColumnRenamed("root", "group"), "candidates")
+    sizes = roots.groupBy("group").agg(F.count("*").alias("n")).withColumn("total", F.col("n"))
+    total = roots.count()
+    members = _shared.often_first(roots, sizes, ["group"], "n", total).withColumnRenamed("total", "n")
+    rows = nodes.select("node", "fp", "signature", "text").join(members, "node")
+    return _dealt(rows, ["group"], group, ["node", "signature", "text"]).mapInArrow(_joined(1, similarity - MARGIN, similarity), "a long, b long")
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, sorted, have this Jaccard similarity or more."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
 
 
-def _joined(least: float):
-    """Each run of equal keys in sorted rows is joined with itself."""
+def _joined(keys: int, least: float, similarity: float | None = None):
+    """Each run of equal keys and parts in sorted rows is joined with itself: by sketches, and by sets if a similarity is given."""
+    first = keys + 2  # the key's columns, part and other; then fp, node, signature, text
 
     def batch_links(columns):
-        *keys, fp, node, signature = columns
-        edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in keys], axis=0)) + 1
+        fp, node, signature, *text = columns[first:]
+        edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:first]], axis=0)) + 1
         lo, hi = np.concatenate([[0], edge]), np.concatenate([edge, [len(fp)]])
         some = hi - lo > 1
         agree = lambda i, j: (signature[i] == signature[j]).mean(axis=1) >= least
-        found = Trie(fp, 0, ERRORS, agree).join(lo[some], hi[some]) if some.any() else []
+        exact = None
+        if text:
+            sets = [x for at in range(0, len(fp), DOCUMENTS) for x in distinct(text[0][at : at + DOCUMENTS].tolist())]
+            exact = lambda i, j: similar(sets[i], sets[j], similarity)
+        found = Trie(fp, 0, ERRORS, agree, exact).join(lo[some], hi[some]) if some.any() else []
         i, j = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
         return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
 
@@ -136,15 +173,17 @@ def _joined(least: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("band", "key", "cut", "part", "fp", "node")]
-            own[4] = own[4].view(np.uint64) ^ np.uint64(1 << 63)
-            own.append(np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(-1, MINIMA))
+            own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(first + 2)]
+            own[first] = own[first].view(np.uint64) ^ np.uint64(1 << 63)
+            own.append(np.frombuffer(b"".join(batch.column(first + 2).to_pylist()), np.uint8).reshape(-1, MINIMA))
+            if similarity is not None:
+                own.append(np.array(batch.column(first + 3).to_pylist() + [None], dtype=object)[:-1])
             held.append(own)
             n += batch.num_rows
-            if n < BATCH:
+            if n < (BATCH if similarity is None else GROUP):
                 continue
             whole = [np.concatenate(c) for c in zip(*held, strict=True)]
-            before = np.flatnonzero(~np.all([c == c[-1] for c in whole[:4]], axis=0))
+            before = np.flatnonzero(~np.all([c == c[-1] for c in whole[:first]], axis=0))
             cut = int(before[-1]) + 1 if len(before) else 0
             if cut:  # the last run may go on in the next batch
                 yield batch_links([c[:cut] for c in whole])

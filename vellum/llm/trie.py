@@ -18,9 +18,12 @@ PAIRS = 100_000
 class Trie:
     """Several subtries over sorted keys: each is a run of keys, each node a shorter run."""
 
-    def __init__(self, keys: np.ndarray, depth: int, errors: int, agree: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
-        """depth: bits that all keys of a run share. agree(i, j): a further test of pairs within the errors."""
-        self.keys, self.depth, self.errors, self._agree = keys, depth, errors, agree
+    def __init__(self, keys: np.ndarray, depth: int, errors: int, agree: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, exact: Callable[[int, int], bool] | None = None):
+        """depth: bits that all keys of a run share. agree(i, j): a further test of pairs within the errors.
+
+        exact(i, j): the last test, of one pair at a time, and only while the two are in different groups.
+        """
+        self.keys, self.depth, self.errors, self._agree, self._exact = keys, depth, errors, agree, exact
         self.label = np.arange(len(keys))
         self._zeros: dict[int, np.ndarray] = {}
         self.links: list[tuple[int, int]] = []
@@ -45,7 +48,7 @@ class Trie:
             return
         for a, b in zip(i[near].tolist(), j[near].tolist(), strict=True):
             a_root, b_root = self._root(a), self._root(b)
-            if a_root != b_root:
+            if a_root != b_root and (self._exact is None or self._exact(a, b)):
                 self.label[max(a_root, b_root)] = min(a_root, b_root)
                 self.links.append((a, b))
         while (up := self.label[self.label]) is not self.label and (up != self.label).any():
