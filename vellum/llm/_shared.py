@@ -5,8 +5,13 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +40,35 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[context.applicationId]
 
 
+_SCOPES: list[list[str]] = []
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/vellum-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/vellum/{label}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, below this application's."""
+    path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the scratch tables made inside; what is to stay must have been written elsewhere by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            remove(spark, path)
 
 
 def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
@@ -47,20 +79,43 @@ def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
 
 
 def discard(spark: SparkSession) -> None:
-    """Delete every scratch table of this package in the shared folder. No result that still reads one survives this."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/vellum")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete every scratch table of this application. No result that still reads one survives this."""
+    remove(spark, _own_dir(spark))
 
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def slices(batches, rows: int = 1000):
-    """Arrow batches in parts of at most ``rows`` rows, so that little is held as Python objects at a time."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of at most ``rows`` rows and about ``size`` bytes of text, so that little is held as Python objects at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if not batch.num_rows:
+            continue
+        start = np.arange(batch.num_rows) // rows
+        if "text" in batch.schema.names:
+            own = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            start = start + ((np.cumsum(own) - own) // size) * batch.num_rows
+        edge = [0, *(np.flatnonzero(start[1:] != start[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edge, edge[1:], strict=False):
+            yield batch.slice(a, b - a)
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever signs it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """wanted, or with underscores behind it a name that no column of df has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
 
 def fold(key: Column, folds: int = 5) -> Column:
@@ -104,9 +159,9 @@ def key_ranges(df: DataFrame, key: str, buckets: int) -> Ranges:
     if low is None:
         return Ranges((0,))
     starts = Ranges(tuple(sorted({low, *(found if shares else ())})))
-    # a start may be above all keys of its range only if it is itself a key, so every range has rows
     firsts = df.where(F.col(key).isNotNull()).groupBy(starts.bucket(key).alias("bucket")).agg(F.min(key).alias("first")).collect()
-    return Ranges(starts.starts, tuple(r["first"] for r in sorted(firsts, key=lambda r: r["bucket"])))
+    # quantiles are doubles, so beyond 2**53 a start need not be a key; ranges without rows join the one before
+    return Ranges(*(tuple(x) for x in zip(*((starts.starts[r["bucket"]], r["first"]) for r in sorted(firsts, key=lambda r: r["bucket"])), strict=True)))
 
 
 def often_first(rows: DataFrame, classes: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
