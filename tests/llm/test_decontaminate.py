@@ -1,6 +1,10 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from vellum.llm import decontaminate as d
 
@@ -63,11 +67,81 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert whole == sorted((r.doc_id, r.item_id, r.score) for r in d.contaminated(docs, benchmark.where("item_id is not null")).collect())
 
 
+def plain_words(text):
+    return re.findall(r"\w+", (text or "").lower())
+
+
+def all_pairs(docs, items):
+    """Every document and item aligned, with rarities counted anew: (doc_id, item_id) to its score."""
+    counts = Counter(w for _, t in docs for w in plain_words(t))
+    total = sum(counts.values())
+    worth = lambda w: min(8.0, max(1.0, -math.log10((counts[w] + 0.5) / (total + 1.0))))
+    out = {}
+    for i, t in items:
+        item = plain_words(t)
+        values = [worth(w) for w in item]
+        if sum(values) < 10:
+            continue
+        for k, text in docs:
+            window = plain_words(text)
+            if sum(v for v, w in zip(values, item, strict=True) if w in set(window)) < 0.45 * sum(values):
+                continue  # cannot reach it in any order
+            score = naive(values, item, window) / sum(values)
+            if score >= 0.45:
+                out[k, i] = score
+    return out
+
+
+def edits(rng, item, other):
+    """Copies of an item with words replaced, left out and put in."""
+    yield [other() if k % 3 == 2 else w for k, w in enumerate(item)]
+    yield [other() if rng.random() < 0.3 else w for w in item]
+    yield [w for k, w in enumerate(item) if k % 3 != 1]
+    yield [x for w in item for x in (w, other())]
+    yield [x for w in item for x in ((w, other()) if rng.random() < 0.5 else (w,)) if rng.random() > 0.15]
+    yield item[len(item) // 3 :]
+
+
+def test_recall_against_all_pairs(spark, table):
+    rng = random.Random(9)
+    items = table("benchmark", "item_id, text")
+    docs = [(k, t) for k, t in table("documents", "doc_id, text") if len(t or "") < 3000]
+    vocabulary = plain_words(" ".join(t or "" for _, t in docs))
+    other = lambda: rng.choice(vocabulary)
+    for i, t in items:
+        for n, words in enumerate(edits(rng, plain_words(t), other)):
+            docs.append((1_000_000 + 10 * i + n, " ".join([other() for _ in range(60)] + words + [other() for _ in range(40)])))
+    expected = all_pairs(docs, items)
+    found = {(r.doc_id, r.item_id): r.score for r in d.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    planted = {p for p in expected if p[0] >= 1_000_000}
+    print(len(expected), len(planted), len(expected.keys() & found.keys()))
+    assert len(planted) >= 4 * len(items) and found.keys() <= expected.keys()
+    assert len(expected.keys() & found.keys()) >= 0.97 * len(expected)
+    assert all(found[p] <= expected[p] + 1e-9 for p in found)
+
+
+def test_items_that_are_worth_little_are_not_judged(spark):
+    docs = spark.createDataFrame([(k, f"yes the plan of the day {k} was good for us") for k in range(20)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, "yes"), (2, "the plan"), (3, "entirely other words that no text of these has")], "item_id long, text string")
+    assert d.clean(docs, benchmark).count() == 20 and d.contaminated(docs, benchmark).count() == 0
+    assert {r.item_id: r.judged for r in d.worths(docs, benchmark).collect()} == {1: False, 2: False, 3: True}
+
+
+def test_a_second_block_sees_the_counts_of_all_rows(spark, monkeypatch):
+    docs, benchmark = small(spark)
+    one = d.blocks
+    kept = {r.doc_id for r in d.clean(docs, benchmark).collect()}
+    assert kept == {r.doc_id for r in docs.collect()} - {r.doc_id for r in d.contaminated(docs, benchmark).collect()}
+    monkeypatch.setattr(d, "blocks", lambda b: one(b, 3))
+    assert kept == {r.doc_id for r in d.clean(docs, benchmark).collect()}
+
+
 def test_edges(spark, edges, empty):
-    benchmark = spark.createDataFrame([(1, "the same text in several rows"), (2, None), (2, ""), (None, "lorem ipsum dolor sit amet")], "item_id long, text string")
+    benchmark = spark.createDataFrame([(1, "the same text in several rows"), (2, None), (2, ""), (None, "wholly unrelated sentence made of unseen vocabulary only")], "item_id long, text string")
     rows = d.contaminated(edges, benchmark).collect()
-    assert sorted((r.doc_id, r.item_id or -1) for r in rows) == [(3, 1), (3, 1), (7, 1), (8, -1)]
-    kept = d.clean(edges, benchmark)
-    assert kept.columns == edges.columns and kept.count() == edges.count() - 4
+    assert sorted((r.doc_id, r.item_id or -1) for r in rows) == [(3, 1), (3, 1), (7, 1)]
+    odd = edges.withColumn("a.b", F.lit(1))
+    kept = d.clean(odd, benchmark)
+    assert kept.columns == odd.columns and kept.count() == edges.count() - 3
     assert d.contaminated(empty, benchmark).count() == 0 == d.clean(empty, benchmark).count()
     assert d.clean(edges, benchmark.limit(0)).count() == edges.count()

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +111,15 @@ def own_columns(df: DataFrame) -> list[Column]:
     return [F.col(quoted(c)) for c in df.columns]
 
 
+def map_rows(docs: DataFrame, rows, added: Iterable[T.StructField] = ()) -> DataFrame:
+    """docs.mapInArrow(rows) whose rows have docs' columns and the added ones. All but text go by number, so any names will do."""
+    text = next((k for k, c in enumerate(docs.columns) if c.lower() == "text"), None)
+    fields = [*docs.schema.fields, *added]
+    numbered = [T.StructField("text" if k == text else f"c{k}", f.dataType) for k, f in enumerate(fields)]
+    safe = docs.toDF(*[f.name for f in numbered[: len(docs.columns)]])
+    return safe.mapInArrow(rows, T.StructType(numbered)).toDF(*[f.name for f in fields])
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """wanted, or with underscores behind it a name that no column of df has in any case."""
     taken = {c.lower() for c in df.columns}

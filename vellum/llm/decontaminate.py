@@ -1,21 +1,31 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare gapped n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters, digits and underscores in lower case, so signs, case and
 line breaks do not hide a copy. The corpus is counted once for the words that
-benchmark items use. An item's seeds are those of its GRAM-word grams that chance
-makes rarest: all whose words' shares multiply to less than CHANCE, and always the rarest half, so
-that an item keeps seeds however common its words or its copies are. Every seed that
-occurs in a document opens a window around the place where the item would lie; the
-item is aligned with the window by Smith-Waterman over words, a match worth its
-word's rarity and a mismatch or gap costing GAP. The score is the best local
+benchmark items use. A seed is two words of an item that lie at most SPAN words apart, and it
+is met where a document has both in that order at most REACH words apart: a copy keeps
+seeds though every third word is replaced, left out or moved by an insertion. An item's seeds
+are those that chance makes rarest: all whose words' shares multiply to less than CHANCE, and
+always the rarest half, so that an item keeps seeds however common its words or its
+copies are. Every seed that occurs in a document opens a window around the place where
+the item would lie. A window whose words cannot reach THRESHOLD even in the best order
+is let go; with the others the item is aligned by Smith-Waterman over words, a match worth
+its word's rarity and a mismatch or gap costing GAP. The score is the best local
 alignment's part of the item's full worth; THRESHOLD and above is contamination.
 
-Items are read in blocks of at most BLOCK words; only one block's words, seeds and
-counts go to the tasks at a time, so what is broadcast is bounded.
+An item worth less than LEAST in all (a probability of one in 10 ** LEAST that chance puts it at a
+place) would convict texts that merely share a phrase: it is not judged, and ``worths`` tells which
+items those are.
 
-Nulls: a null or wordless text matches nothing; items without words have no seeds; a
-null item_id or doc_id is carried along. Items of fewer than GRAM words are one seed.
-Equal items are matched apart. Empty tables give no rows.
+Items are read in blocks of at most BLOCK words; only one block's words, seeds and
+counts go to the tasks at a time, so what is broadcast is bounded. Word counts are always taken over
+all rows that came in, so the blocks do not change any result.
+
+Nulls: a null text or one without words matches nothing; items without words have no seeds; a
+null item_id or doc_id is carried along. Equal items are matched apart, and repeated rows are rows of
+their own. Of several best alignments of one item the first in the text gives the end. Very long texts are
+matched whole, very long items are a block of their own. Other columns are not read, whatever
+their names, and ``clean`` keeps them. Empty tables give no rows; without items all rows are clean.
 """
 
 from __future__ import annotations
@@ -31,10 +41,11 @@ from pyspark.sql import functions as F
 
 from vellum.llm import _shared
 
-GRAM = 3
-CHANCE = 1e-10
+SPAN, REACH = 2, 3
+CHANCE = 1e-8
 GAP = 1.0
 THRESHOLD = 0.45
+LEAST = 10.0
 BLOCK = 200_000
 DOCUMENTS = 1000
 WORD = re.compile(r"\w+")
@@ -77,40 +88,37 @@ class Matcher(Block):
         self.item_ids, self.at, self.items = block.item_ids, block.at, block.items
         share = (counts + 0.5) / (total + 1.0)
         self.worth = np.clip(-np.log10(share), 1.0, 8.0)
-        size = max(1, len(self.at))
+        self.full = np.array([float(self.worth[item].sum()) for item in self.items])
         keys, owner, place = [], [], []
         for k, item in enumerate(self.items):
-            if not len(item):
+            if self.full[k] < LEAST:
                 continue
-            n = min(GRAM, len(item))
-            grams = np.stack([item[j : len(item) - n + 1 + j] for j in range(n)])
-            chance = np.log10(share)[grams].sum(axis=0)
-            rare = (chance < np.log10(CHANCE)) | (chance <= np.median(chance))
-            own = np.zeros(grams.shape[1], dtype=np.int64)
-            for row in grams:
-                own = own * (size + 1) + row + 1  # places from 1, so that shorter seeds differ from longer ones
-            keys.append(own[rare])
+            pairs = [(np.arange(len(item) - gap), gap) for gap in range(1, SPAN + 1) if len(item) > gap]
+            first = np.concatenate([at for at, _ in pairs]) if pairs else np.empty(0, np.int64)
+            second = first + (np.repeat([gap for _, gap in pairs], [len(at) for at, _ in pairs]) if pairs else 0)
+            chance = np.log10(share)[item[first]] + np.log10(share)[item[second]]
+            rare = (chance < np.log10(CHANCE)) | (chance <= np.median(chance)) if len(first) else np.empty(0, bool)
+            keys.append(item[first][rare] * len(self.at) + item[second][rare])
             owner.append(np.full(int(rare.sum()), k))
-            place.append(np.flatnonzero(rare))
+            place.append(first[rare])
         keys, owner, place = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, owner, place))
         order = np.argsort(keys, kind="stable")
-        self.keys, self.owner, self.place = keys[order], owner[order], place[order]
-        self.distinct, self.first, self.times = np.unique(self.keys, return_index=True, return_counts=True)
-        self.sizes = sorted({min(GRAM, len(i)) for i in self.items if len(i)})
+        self.owner, self.place = owner[order], place[order]
+        self.distinct, self.first, self.times = np.unique(keys[order], return_index=True, return_counts=True)
+        self.opens = np.zeros(len(self.at), dtype=bool)
+        if len(self.distinct):
+            self.opens[self.distinct // len(self.at)] = True
 
     def hits(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word positions (in flat) and rows of the seed table, for all texts at once."""
         ends = np.repeat(np.cumsum(sizes), sizes)
+        known = np.flatnonzero(flat >= 0)
+        known = known[self.opens[flat[known]]]
         at, seed = [], []
-        for n in self.sizes:
-            some = np.flatnonzero(flat >= 0)
-            some = some[some + n <= ends[some]]
-            own = np.zeros(len(some), dtype=np.int64)
-            ok = np.ones(len(some), dtype=bool)
-            for j in range(n):
-                ok &= flat[some + j] >= 0
-                own = own * (len(self.at) + 1) + flat[some + j] + 1
-            some, own = some[ok], own[ok]
+        for gap in range(1, REACH + 1):
+            some = known[known + gap < ends[known]]
+            some = some[flat[some + gap] >= 0]
+            own = flat[some] * len(self.at) + flat[some + gap]
             k = np.minimum(np.searchsorted(self.distinct, own), len(self.distinct) - 1)
             found = self.distinct[k] == own
             some, k = some[found], k[found]
@@ -119,6 +127,11 @@ class Matcher(Block):
             seed.append(np.repeat(self.first[k] - (np.cumsum(n_rows) - n_rows), n_rows) + np.arange(int(n_rows.sum())))
         return np.concatenate(at), np.concatenate(seed)
 
+    def may_reach(self, item: int, window: np.ndarray) -> bool:
+        """Whether the window's words, in whatever order and with no cost, are worth THRESHOLD of the item."""
+        own = self.items[item]
+        return self.worth[own[np.isin(own, window)]].sum() >= THRESHOLD * self.full[item]
+
     def align(self, item: np.ndarray, window: np.ndarray) -> tuple[float, int]:
         """Best local alignment's worth and its end in the window."""
         worth, slope = self.worth[item], GAP * np.arange(len(window) + 1)
@@ -136,7 +149,7 @@ class Matcher(Block):
         """For each text its contaminating items, best alignment of each."""
         flat, sizes = self.local(texts)
         out: list[list[Match]] = [[] for _ in texts]
-        if not len(self.keys) or not len(flat):
+        if not len(self.distinct) or not len(flat):
             return out
         at, seed = self.hits(flat, sizes)
         ends = np.cumsum(sizes)
@@ -156,10 +169,12 @@ class Matcher(Block):
             cut = np.flatnonzero(np.diff(starts) > len(own) + 2 * pad) + 1
             for run in np.split(starts, cut):
                 first, last = max(low, int(run[0]) - pad), min(high, int(run[-1]) + len(own) + pad)
+                if not self.may_reach(int(item[a]), flat[first:last]):
+                    continue
                 value, end = self.align(own, flat[first:last])
                 if value > found.score:
                     found.score, found.end = value, first + end - low
-            found.score /= float(self.worth[own].sum())
+            found.score /= self.full[item[a]]
             if found.score >= THRESHOLD:
                 out[t].append(found)
         return out
@@ -209,8 +224,11 @@ ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item that it holds: score, seeds found, word at which the copy ends."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    out = docs.sparkSession.createDataFrame([], PAIRS)
+    out, last = docs.sparkSession.createDataFrame([], PAIRS), None
     for block in blocks(benchmark):
+        if last is not None:  # written, so that the next block's matcher takes this one's place
+            out = out.unionByName(_shared.stored(last, "contaminated"))
+            shared.destroy()  # noqa: F821
         shared = docs.sparkSession.sparkContext.broadcast(matcher(docs, block))
 
         def rows(batches, shared=shared):
@@ -220,23 +238,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 pairs = [(d, own.item_ids[m.item], m.score, m.seeds, m.end) for d, ms in zip(part.column("doc_id").to_pylist(), found, strict=True) for m in ms]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pairs, strict=True) if pairs else [[]] * 5, ARROW, strict=True)], schema=ARROW)
 
-        out = out.unionByName(docs.mapInArrow(rows, PAIRS))
-    return out
+        last = docs.mapInArrow(rows, PAIRS)
+    return out if last is None else out.unionByName(last)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, columns as they are, that hold no benchmark item."""
+    counted, shared = docs, None
     for block in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(matcher(docs, block))
+        if shared is not None:
+            docs = _shared.stored(docs, "clean")
+            shared.destroy()
+        shared = docs.sparkSession.sparkContext.broadcast(matcher(counted, block))
 
         def rows(batches, shared=shared):
             own = shared.value
             for part in _shared.slices(batches, DOCUMENTS):
                 yield part.filter(pa.array([not ms for ms in own.match(part.column("text").to_pylist())], pa.bool_()))
 
-        docs = docs.mapInArrow(rows, docs.schema)
+        docs = _shared.map_rows(docs, rows)
     return docs
 
 
+def worths(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """item_id, worth and judged of every benchmark item: items worth less than LEAST are not judged."""
+    out = docs.sparkSession.createDataFrame([], "item_id long, worth double, judged boolean")
+    for block in blocks(benchmark):
+        found = matcher(docs, block)
+        rows = [(i, float(w), bool(w >= LEAST)) for i, w in zip(found.item_ids, found.full, strict=True)]
+        out = out.unionByName(_shared.stored(docs.sparkSession.createDataFrame(rows, out.schema), "worths"))
+    return out
+
+
 def op4_seed_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_shared.table(spark, sf_dir, "documents"), _shared.table(spark, sf_dir, "benchmark"))

@@ -164,16 +164,15 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, bits: int = BIT
 def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS, name: str = "vellum_score") -> DataFrame:
     """docs, columns as they are, and a column of the given name with the score."""
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # 4 bytes for each of 2**bits buckets
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def rows(batches):
         w, own = shared.value.astype(np.float64), _featuriser(bits)
         for part in _shared.slices(batches):
             text, at, n = own(part.column("text").to_pylist())
             margin = w[0] + np.bincount(text, w[at] * scaled(text, n, part.num_rows), part.num_rows)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-margin)))], names=[*part.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-margin)))], names=[*part.schema.names, f"c{part.num_columns}"])
 
-    return docs.mapInArrow(rows, schema)
+    return _shared.map_rows(docs, rows, [T.StructField(name, T.DoubleType())])
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
