@@ -4,23 +4,30 @@ For a text c[0..n) the prefix array holds, modulo a 31-bit prime, the sums of
 c[j] / B**(j+1). The hash of any span [a, b) is then (S[b] - S[a]) * B**b, which is
 the span's polynomial whatever its place: one subtraction and one product tell whether two
 spans are equal, and binary search over span lengths gives the longest common
-extension. Two primes together make the 62 bits of a whole text's hash.
+extension. Two primes together make the 62 bits of every hash that is kept or compared.
 
-A fingerprint keeps some of those values: the text's length and hash, and hashes of
-the prefixes and suffixes at every multiple of a power of two, at most POINTS each.
-The likeness of two fingerprints is the part of the longer text that their longest
-common prefix and suffix cover, both found by binary search over common points.
+A fingerprint keeps some of those values: the text's length and hash; hashes of
+the prefixes and suffixes at every multiple of a power of two, at most POINTS each; and the
+lengths and hashes of at most SPANS spans between places that the content chooses: those whose
+last WINDOW code points hash to a multiple of a power of two, the least power that leaves so few. The places
+of a higher power are among those of a lower one, and hashes of neighbouring spans add up, so that spans of
+texts of any two lengths compare. The likeness of two fingerprints is the part of the longer text that
+their longest common prefix and suffix cover, both found by binary search over common points, and
+between those the spans that both texts have, wherever they lie.
 
 Nulls: a null text is empty. Empty texts are equal to each other (likeness 1) and
 unlike all others (0). The next document is the next row by (doc_id, text), so repeated
-ids are rows of their own; null ids come first. One document is its own next. An
-empty table gives no rows.
+ids are rows of their own, and rows equal in both are alike in every result; null ids come first.
+One document is its own next. Very long texts are hashed whole, one task holding two of them at a time. Other
+columns are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +39,10 @@ from vellum.llm import _shared
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
 POINTS = 32
+SPANS = 32
+WINDOW = 8
+LEAST = 2  # the least power of two for places
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 1 << 16
 
 
@@ -92,18 +103,37 @@ class PrefixHash:
         a, b, p = np.asarray(a), np.asarray(b), powers()[k]
         return (self.sums[k][b] + p.prime - self.sums[k][a]) % p.prime * p.of(b) % p.prime
 
+    def both(self, a, b) -> np.ndarray:
+        """62-bit hashes of the spans [a, b)."""
+        return self.spans(a, b, 0) << np.uint64(31) | self.spans(a, b, 1)
+
     def whole(self) -> int:
-        return int(self.spans([0], [self.n], 0)[0]) << 31 | int(self.spans([0], [self.n], 1)[0])
+        return int(self.both([0], [self.n])[0])
+
+    @cached_property
+    def fingerprint(self) -> Fingerprint:
+        return Fingerprint.of(self)
+
+    @cached_property
+    def powers_at(self) -> np.ndarray:
+        """Of the WINDOW code points that start at each place: the power of two that their hash is a multiple of."""
+        return self._powers_at(np.arange(max(0, self.n - WINDOW + 1)))
+
+    def _powers_at(self, start: np.ndarray) -> np.ndarray:
+        mixed = (self.spans(start, start + WINDOW) * _MIX) >> np.uint64(32)
+        return np.bitwise_count(~mixed & (mixed - np.uint64(1))).clip(max=32)
 
-    def equal(self, a: int, other: PrefixHash, b: int, length: int) -> bool:
-        return all(self.spans([a], [a + length], k)[0] == other.spans([b], [b + length], k)[0] for k in (0, 1))
+    def equal(self, a: int, other: PrefixHash | Spliced, b: int, length: int) -> bool:
+        return bool(self.both([a], [a + length])[0] == other.both([b], [b + length])[0])
 
-    def common_extension(self, a: int, other: PrefixHash, b: int) -> int:
-        """Length of the longest equal spans that start at a here and at b there."""
+    def common_extension(self, a: int, other: PrefixHash | Spliced, b: int) -> int:
+        """Length of the longest equal spans that start at a here and at b there, by a search that tries 32 lengths at once."""
         low, high = 0, min(self.n - a, other.n - b)
         while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if self.equal(a, other, b, mid) else (low, mid - 1)
+            tried = np.unique(np.linspace(low + 1, high, 32).astype(np.int64))
+            same = self.both(np.full_like(tried, a), a + tried) == other.both(np.full_like(tried, b), b + tried)
+            k = int(same.sum())  # all up to the longest are equal
+            low, high = int(tried[k - 1]) if k else low, int(tried[k]) - 1 if k < len(tried) else high
         return low
 
 
@@ -120,7 +150,14 @@ class Spliced:
         right = self.tail.spans(np.maximum(a - self.cut, 0), over, k)
         return (left * p.of(np.minimum(over, b - a)) + right) % p.prime
 
-    whole = PrefixHash.whole
+    @cached_property
+    def powers_at(self) -> np.ndarray:
+        """As of a text of its own: only windows over the seam are hashed anew."""
+        before = max(0, self.cut - WINDOW + 1)
+        seam = np.arange(before, max(before, min(self.cut, self.n - WINDOW + 1)))
+        return np.concatenate([self.head.powers_at[:before], self._powers_at(seam), self.tail.powers_at[: max(0, self.more - WINDOW + 1)]])
+
+    both, whole, _powers_at = PrefixHash.both, PrefixHash.whole, PrefixHash._powers_at
 
 
 def stride(n: int) -> int:
@@ -132,25 +169,56 @@ def stride(n: int) -> int:
 
 @dataclass(frozen=True)
 class Fingerprint:
+    """powers has, for each span but the last, the power of two of the place that ends it."""
+
     n: int
     whole: int
     prefixes: np.ndarray
     suffixes: np.ndarray
+    power: int
+    lengths: tuple[int, ...]
+    hashes: tuple[int, ...]
+    powers: tuple[int, ...]
 
     def __str__(self) -> str:
-        points = lambda x: x.astype(">u4").tobytes().hex()
-        return f"{self.n:x}.{self.whole:016x}.{points(self.prefixes)}.{points(self.suffixes)}"
+        points = lambda x: x.astype(">u8").tobytes().hex()
+        numbers = lambda x: ",".join(f"{k:x}" for k in x)
+        return f"{self.n:x}.{self.whole:016x}.{points(self.prefixes)}.{points(self.suffixes)}.{self.power:x}.{numbers(self.lengths)}.{points(np.array(self.hashes, np.uint64))}.{numbers(self.powers)}"
 
     @classmethod
     def of(cls, text: PrefixHash | Spliced) -> Fingerprint:
         s = stride(text.n)
         at = np.arange(1, text.n // s + 1) * s
-        return cls(text.n, text.whole(), text.spans(np.zeros_like(at), at), text.spans(text.n - at, np.full_like(at, text.n)))
+        found = text.powers_at[: max(0, text.n - WINDOW)]  # the text's own end is no place
+        more = np.cumsum(np.bincount(found, minlength=33)[::-1])[::-1]  # places of each power or a higher one
+        power = max(LEAST, int(np.argmax(np.append(more, 0) < SPANS)))
+        place = np.flatnonzero(found >= power)
+        edge = np.concatenate([[0], place + WINDOW, [text.n]])
+        spans = text.both(edge[:-1], edge[1:]).tolist()
+        lengths = np.diff(edge).tolist()
+        return cls(
+            text.n, text.whole(), text.both(np.zeros_like(at), at), text.both(text.n - at, np.full_like(at, text.n)),
+            power, tuple(lengths), tuple(spans), tuple(found[place].tolist()),
+        )
 
     @classmethod
     def parse(cls, text: str) -> Fingerprint:
-        n, whole, *points = text.split(".")
-        return cls(int(n, 16), int(whole, 16), *(np.frombuffer(bytes.fromhex(x), ">u4").astype(np.uint64) for x in points))
+        n, whole, prefixes, suffixes, power, lengths, hashes, powers = text.split(".")
+        points = lambda x: np.frombuffer(bytes.fromhex(x), ">u8").astype(np.uint64)
+        numbers = lambda x: tuple(int(k, 16) for k in x.split(",") if k)
+        return cls(int(n, 16), int(whole, 16), points(prefixes), points(suffixes), int(power, 16), numbers(lengths), tuple(points(hashes).tolist()), numbers(powers))
+
+    def spans(self, power: int) -> list[tuple[int, int, int]]:
+        """(start, length, hash) of the spans between places of the power or a higher one; neighbours' hashes are added up."""
+        out, start, size, value = [], 0, 0, (0, 0)
+        for k, (length, whole) in enumerate(zip(self.lengths, self.hashes, strict=True)):
+            own = whole >> 31, whole & ((1 << 31) - 1)
+            value = tuple((v * pow(b, length, p) + x) % p for v, x, b, p in zip(value, own, BASES, PRIMES, strict=True)) if size else own
+            size += length
+            if k == len(self.powers) or self.powers[k] >= power:
+                out.append((start, size, value[0] << 31 | value[1]))
+                start, size, value = start + size, 0, (0, 0)
+        return out
 
 
 def _agreed(a: np.ndarray, b: np.ndarray) -> int:
@@ -169,8 +237,21 @@ def likeness(a: Fingerprint, b: Fingerprint) -> float:
         return 0.0
     s = max(stride(a.n), stride(b.n))
     thin = lambda f, x: x[s // stride(f.n) - 1 :: s // stride(f.n)]
-    shared = s * (_agreed(thin(a, a.prefixes), thin(b, b.prefixes)) + _agreed(thin(a, a.suffixes), thin(b, b.suffixes)))
-    return min(shared, a.n, b.n, max(a.n, b.n) - 1) / max(a.n, b.n)
+    head, tail = s * _agreed(thin(a, a.prefixes), thin(b, b.prefixes)), s * _agreed(thin(a, a.suffixes), thin(b, b.suffixes))
+    power = max(a.power, b.power)
+    between = []  # spans that reach into what the ends do not cover
+    for f in (a, b):
+        between.append([(start, n, h) for start, n, h in f.spans(power) if start + n > head and start < f.n - tail])
+    both = Counter((n, h) for _, n, h in between[0]) & Counter((n, h) for _, n, h in between[1])
+    shared = []
+    for f, own in zip((a, b), between, strict=True):
+        left, covered = both.copy(), 0
+        for start, n, h in own:
+            if left[n, h]:
+                left[n, h] -= 1
+                covered += max(0, min(start + n, f.n - tail) - max(start, head))
+        shared.append(covered)
+    return min(head + tail + min(shared), a.n, b.n, max(a.n, b.n) - 1) / max(a.n, b.n)
 
 
 def _edited(rows):
@@ -188,7 +269,7 @@ def _result(row, following) -> dict:
     _, _, other, more = following
     cut, take = hashes.n - hashes.n // 2, min(hashes.n // 2, more.n)
     edited = Spliced(hashes, cut, more, take)
-    own, changed = Fingerprint.of(hashes), Fingerprint.of(edited)
+    own, changed = hashes.fingerprint, Fingerprint.of(edited)
     return {
         "doc_id": doc_id,
         "n_chars": hashes.n,
@@ -196,12 +277,14 @@ def _result(row, following) -> dict:
         "fingerprint": str(own),
         "edited_fingerprint": str(changed),
         "near_edited": likeness(own, changed),
-        "near_next": likeness(own, Fingerprint.of(more)),
+        "near_next": likeness(own, more.fingerprint),
+        "prefix_edited": hashes.common_extension(0, edited, 0),
+        "prefix_next": hashes.common_extension(0, more, 0),
     }
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *[(k, pa.string()) for k in ("edited_sha256", "fingerprint", "edited_fingerprint")], ("near_edited", pa.float64()), ("near_next", pa.float64())])
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, prefix_edited long, prefix_next long"
+ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *[(k, pa.string()) for k in ("edited_sha256", "fingerprint", "edited_fingerprint")], *[(k, pa.float64()) for k in ("near_edited", "near_next")], *[(k, pa.int64()) for k in ("prefix_edited", "prefix_next")]])
 
 
 def with_next(docs: DataFrame) -> DataFrame:
