@@ -28,6 +28,7 @@ import hashlib
 from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -127,13 +128,15 @@ class PrefixHash:
         return bool(self.both([a], [a + length])[0] == other.both([b], [b + length])[0])
 
     def common_extension(self, a: int, other: PrefixHash | Spliced, b: int) -> int:
-        """Length of the longest equal spans that start at a here and at b there, by a search that tries 32 lengths at once."""
+        """Length of the longest equal spans that start at a here and at b there: by doubled lengths, then by a search that tries 16 at once."""
         low, high = 0, min(self.n - a, other.n - b)
+        tried = 1 << np.arange(high.bit_length())
         while low < high:
-            tried = np.unique(np.linspace(low + 1, high, 32).astype(np.int64))
             same = self.both(np.full_like(tried, a), a + tried) == other.both(np.full_like(tried, b), b + tried)
             k = int(same.sum())  # all up to the longest are equal
             low, high = int(tried[k - 1]) if k else low, int(tried[k]) - 1 if k < len(tried) else high
+            step = max(1, (high - low) // 16)
+            tried = np.append(np.arange(low + step, high, step), high)
         return low
 
 
@@ -190,16 +193,14 @@ class Fingerprint:
         s = stride(text.n)
         at = np.arange(1, text.n // s + 1) * s
         found = text.powers_at[: max(0, text.n - WINDOW)]  # the text's own end is no place
-        more = np.cumsum(np.bincount(found, minlength=33)[::-1])[::-1]  # places of each power or a higher one
-        power = max(LEAST, int(np.argmax(np.append(more, 0) < SPANS)))
+        more = np.cumsum(np.bincount(found, minlength=34)[::-1])[::-1]  # places of each power or a higher one; none of 33
+        power = max(LEAST, int(np.argmax(more < SPANS)))
         place = np.flatnonzero(found >= power)
         edge = np.concatenate([[0], place + WINDOW, [text.n]])
-        spans = text.both(edge[:-1], edge[1:]).tolist()
-        lengths = np.diff(edge).tolist()
-        return cls(
-            text.n, text.whole(), text.both(np.zeros_like(at), at), text.both(text.n - at, np.full_like(at, text.n)),
-            power, tuple(lengths), tuple(spans), tuple(found[place].tolist()),
-        )
+        start = np.concatenate([[0], np.zeros_like(at), text.n - at, edge[:-1]])
+        end = np.concatenate([[text.n], at, np.full_like(at, text.n), edge[1:]])
+        whole, prefixes, suffixes, spans = np.split(text.both(start, end), np.cumsum([1, len(at), len(at)]))
+        return cls(text.n, int(whole[0]), prefixes, suffixes, power, tuple(np.diff(edge).tolist()), tuple(spans.tolist()), tuple(found[place].tolist()))
 
     @classmethod
     def parse(cls, text: str) -> Fingerprint:
@@ -210,6 +211,8 @@ class Fingerprint:
 
     def spans(self, power: int) -> list[tuple[int, int, int]]:
         """(start, length, hash) of the spans between places of the power or a higher one; neighbours' hashes are added up."""
+        if power <= self.power:
+            return list(zip(accumulate(self.lengths, initial=0), self.lengths, self.hashes, strict=False))
         out, start, size, value = [], 0, 0, (0, 0)
         for k, (length, whole) in enumerate(zip(self.lengths, self.hashes, strict=True)):
             own = whole >> 31, whole & ((1 << 31) - 1)
@@ -239,6 +242,8 @@ def likeness(a: Fingerprint, b: Fingerprint) -> float:
     thin = lambda f, x: x[s // stride(f.n) - 1 :: s // stride(f.n)]
     head, tail = s * _agreed(thin(a, a.prefixes), thin(b, b.prefixes)), s * _agreed(thin(a, a.suffixes), thin(b, b.suffixes))
     power = max(a.power, b.power)
+    if not head and not tail and power == a.power == b.power and set(a.hashes).isdisjoint(b.hashes):
+        return 0.0
     between = []  # spans that reach into what the ends do not cover
     for f in (a, b):
         between.append([(start, n, h) for start, n, h in f.spans(power) if start + n > head and start < f.n - tail])
