@@ -53,6 +53,33 @@ def test_items_that_never_fit_together_end(spark):
     assert check(rows, 100) == 900 and len(rows) == 901
 
 
+def joinable(rows, capacity):
+    """How many pairs of sequences could be one, each used once, greedily."""
+    fill = defaultdict(int)
+    for r in rows:
+        fill[r.sequence_id] += r.length
+    sizes, pairs = sorted(fill.values()), 0
+    while len(sizes) > 1:
+        small = sizes.pop(0)
+        partner = next((k for k in range(len(sizes) - 1, -1, -1) if sizes[k] + small <= capacity), None)
+        if partner is None:
+            break
+        sizes.pop(partner)
+        pairs += 1
+    return pairs
+
+
+def test_many_open_bins_are_merged_up_the_tree(spark):
+    rng = random.Random(3)
+    for lengths in ([rng.choice([55, 58, 61]) for _ in range(1200)] + [rng.randint(5, 44) for _ in range(300)], [rng.randint(51, 99) for _ in range(1500)], [34] * 1400 + [rng.randint(1, 90) for _ in range(100)]):
+        rows = packing.pack(items(spark, lengths), 100, per_partition=200).collect()
+        assert sorted(r.doc_id for r in rows) == list(range(len(lengths)))
+        check(rows, 100)
+        assert joinable(rows, 96) <= 1  # bins of 96 and more are done, whatever comes
+        at_once = packing.pack(items(spark, lengths), 100).collect()
+        assert check(rows, 100) <= check(at_once, 100) * 1.02 + 1
+
+
 def test_best_fit():
     assert packing.best_fit([6, 5, 4, 3, 2], 10) == [0, 1, 0, 1, 1]
     assert packing.best_fit([], 10) == [] and packing.best_fit([10, 10], 10) == [0, 1]

@@ -1,6 +1,8 @@
 import zlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from vellum.llm import sharding
 
 
@@ -45,13 +47,52 @@ def test_rebalance_edits_only_what_it_must():
     assert sharding.rebalance(edited, loads) == edited
 
 
+def test_equal_texts_share_a_shard(spark, table):
+    sf = "/root/testdata/sf0.01"
+    shard = {r.doc_id: r.shard for r in sharding.op10_virtual_slots(spark, sf).collect()}
+    groups = defaultdict(set)
+    for d, t in table("documents", "doc_id, text", sf):
+        groups[t].add(shard[d])
+    assert len(groups) < len(shard) and all(len(s) == 1 for s in groups.values())
+
+
+def test_hot_groups_are_dealt_and_sizes_stay_near_equal(spark):
+    rows = [(None if k % 2 else k, "a third of all rows has this text " * 4) for k in range(2000)] + [(k, f"text {k} " * (k % 40)) for k in range(2000, 6000)]
+    placed, slot_map = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 6)
+    load = check(placed.collect(), rows, 6)
+    assert max(load) - min(load) <= 0.02 * sum(load) / 6
+    per_slot = placed.groupBy("virtual_slot").count().agg({"count": "max"}).first()[0]
+    assert per_slot <= 110 and slot_map.shards == 6  # 100 rows share the empty text
+
+
+def test_stored_maps_are_read_back_and_edited(spark, tmp_path):
+    path = str(tmp_path / "map")
+    docs = spark.createDataFrame([(k, f"{k} " * (1 + k % 50)) for k in range(600)], "doc_id long, text string")
+    _, one = sharding.assign(docs, 4, 256, path)
+    assert sharding.read_map(spark, path) == one and sharding.versions(spark, path) == list(range(1, one.version + 1))
+    more = docs.unionByName(spark.createDataFrame([(k, f"new {k} " * 300) for k in range(1000, 1040)], "doc_id long, text string"))
+    placed, two = sharding.assign(more, 4, 256, path)
+    check(placed.collect(), [(r.doc_id, r.text) for r in more.collect()], 4)
+    moved = [s for s, (a, b) in enumerate(zip(one.shard_of, two.shard_of, strict=True)) if a != b]
+    assert two.version == one.version + 1 and 0 < len(moved) < 128
+    assert [e[1] for e in two.edits if e[0] == two.version] == moved
+    assert sharding.read_map(spark, path, one.version) == one
+    two.store(spark, path)  # a second time, as after a lost driver
+    assert sharding.read_map(spark, path) == two
+    grown = sharding.grow(two, {r.virtual_slot: r.n for r in placed.groupBy("virtual_slot").agg({"size": "sum"}).withColumnRenamed("sum(size)", "n").collect()})
+    grown.store(spark, path)
+    assert sharding.read_map(spark, path).shards == 5 and set(sharding.read_map(spark, path).shard_of) == set(range(5))
+
+
 def test_edges(spark, edges, empty, tmp_path):
     texts = [(r.doc_id, r.text) for r in edges.select("doc_id", "text").collect()]
     placed, _ = sharding.assign(edges, 3)
     check(placed.collect(), texts, 3)
     assert sharding.assign(empty)[0].count() == 0
     path = str(tmp_path / "s")
-    sharding.write_shards(edges, path, 3)
-    back = spark.read.parquet(f"{path}/data")
-    assert back.count() == len(texts) and set(edges.columns) < set(back.columns)
-    assert spark.read.parquet(f"{path}/map").count() == sharding.SLOTS
+    odd = edges.withColumns({"vellum_shard": F.lit("mine"), "a.b": F.lit(1)})
+    for _ in range(2):  # a retry writes the same once more
+        slot_map = sharding.write_shards(odd, path, 3)
+        back = spark.read.parquet(f"{path}/data")
+        assert back.count() == len(texts) and set(back.columns) == {*odd.columns, "vellum_shard_"}
+        assert {r.vellum_shard for r in back.collect()} == {"mine"} and sharding.read_map(spark, f"{path}/map") == slot_map

@@ -61,6 +61,11 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Deletes, at its end, the scratch tables made inside; what is to stay must have been written elsewhere by then."""

@@ -1,13 +1,18 @@
 """Best-fit packing of token pieces into sequences, by hierarchical residual packing.
 
 Every partition packs its own pieces best-fit, longest first. Bins that are nearly
-full are done. The underfull ones go on, as items of their fill, to fewer partitions
-that pack them again, until one partition of at most ITEMS items has packed what is
-left. If so many bins stay underfull that they do not fit in one partition, rounds
-go on over new groupings until a round saves less than STALL of its bins.
-
-Nulls: a null text has the end id alone; a null doc_id is a document like others.
-Equal rows are packed as separate pieces. An empty table gives no rows.
+full are done. In what best-fit leaves, no two bins of a partition fit together, so all but
+one are more than half full: the underfull ones (at most one a partition) are merged up a tree, FAN
+partitions' bins in one, as items of repeated best-fit rounds. Each meets the open bins of every fill; of one
+fill a partition takes as many as it has underfull bins at most, as more of them cannot be used. The
+rounds end when one partition has held all underfull bins: then no two bins fit together that a
+round could have joined, and what is open is done. What is left in ITEMS bins or fewer is packed at
+once in the end.
+
+Nulls: a null text has the end id alone; a null doc_id is a document like others, its pieces first among equal
+lengths. Ties go by (doc_id, piece); equal rows are packed as separate pieces. Very long texts become many pieces, of
+which all but the last are sequences of their own. Other columns are not read, whatever their names. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -19,16 +24,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vellum.llm import _shared, tokens
 
 CAPACITY = 2048
 ITEMS = 60_000
 SLACK = 4
-STALL = 0.001
+SALTS = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-BINS = "part long, bin long, fill int, done boolean, members array<struct<doc_id: long, piece: int, start: long, length: long, ids_crc32: long>>"
+BINS = "number long, fill int, done boolean, members array<struct<doc_id: long, piece: int, start: long, length: long, ids_crc32: long>>"
 
 
 def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
@@ -76,56 +82,76 @@ def best_fit(sizes: list[int], capacity: int) -> list[int]:
     return where
 
 
-def _packed(capacity: int, slack: int, last: bool):
-    """One partition's round: items of ``fill`` with their members become bins."""
+def _packed(at: int, capacity: int, slack: int, last: bool):
+    """One partition's part of round ``at``: items of ``fill`` with their members become bins."""
 
     def group(key, frame):
         rows = frame.select(["fill", "members"]).to_pylist()
-        first = lambda r: [(-1 if m["doc_id"] is None else m["doc_id"], m["piece"]) for m in r["members"][:1]]
+        first = lambda r: [(m["doc_id"] is not None, m["doc_id"] or 0, m["piece"]) for m in r["members"][:1]]
         rows.sort(key=lambda r: (-r["fill"], first(r)))
         members: dict[int, list] = {}
         fills: dict[int, int] = {}
         for r, k in zip(rows, best_fit([r["fill"] for r in rows], capacity), strict=True):
             members.setdefault(k, []).extend(r["members"])
             fills[k] = fills.get(k, 0) + r["fill"]
-        part = key[0].as_py()
-        out = [{"part": part, "bin": k, "fill": fills[k], "done": last or capacity - fills[k] <= slack, "members": m} for k, m in members.items()]
+        number = ((at << 24) + key[0].as_py()) << 28
+        out = [{"number": number + k, "fill": fills[k], "done": last or capacity - fills[k] <= slack, "members": m} for k, m in members.items()]
         return pa.Table.from_pylist(out, schema=SCHEMA)
 
     return group
 
 
 MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-SCHEMA = pa.schema([("part", pa.int64()), ("bin", pa.int64()), ("fill", pa.int32()), ("done", pa.bool_()), ("members", pa.list_(MEMBER))])
+SCHEMA = pa.schema([("number", pa.int64()), ("fill", pa.int32()), ("done", pa.bool_()), ("members", pa.list_(MEMBER))])
+
+
+def _first(rows: DataFrame, most: int, *by: str) -> DataFrame:
+    """rows with n, their number among those that agree in ``by``; in two steps, so that no group is sorted in one task."""
+    order = F.xxhash64("number")
+    salt = F.pmod(order, F.lit(SALTS)).alias("salt")
+    salted = rows.select("*", salt).withColumn("n", F.row_number().over(Window.partitionBy(*by, "salt").orderBy(order, "number"))).drop("salt")
+    few = salted.where(F.col("n") <= most).withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(order, "number")))
+    return few.unionByName(salted.where(F.col("n") > most))
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = ITEMS, slack: int = SLACK) -> DataFrame:
     """Pieces with sequence_id and offset; pieces of the full capacity are sequences of their own."""
     items = _shared.stored(items, "pieces")
     member = F.struct("doc_id", "piece", "start", "length", "ids_crc32")
-    spread = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
-    full = items.where(F.col("length") >= capacity).select(
-        F.lit(-1).alias("round"), spread.alias("part"), F.monotonically_increasing_id().alias("bin"), F.array(member).alias("members")
-    )
-    finished, open_bins = [full], items.where(F.col("length") < capacity).select(F.col("length").cast("int").alias("fill"), F.array(member).alias("members"))
-    n, at = open_bins.count(), 0
+    finished = [items.where(F.col("length") >= capacity).select((-1 - F.monotonically_increasing_id()).alias("number"), F.array(member).alias("members"))]
+    opened = items.where(F.col("length") < capacity).select(F.lit(0).cast("long").alias("number"), F.col("length").cast("int").alias("fill"), F.array(member).alias("members"))
+    fan, n, at = max(2, per_partition // capacity), opened.count(), 0
     while n:
-        parts = -(-n // per_partition)
-        one = parts == 1
-        key = F.lit(0).cast("long") if one else F.pmod(F.xxhash64(F.col("members")[0], F.lit(at)), F.lit(parts))
-        bins = _shared.stored(
-            open_bins.withColumn("part", key).groupBy("part").applyInArrow(_packed(capacity, slack, one), BINS), f"bins-{at}"
-        )
-        left = 0 if one else bins.where(~F.col("done")).count()
-        stalled = not one and at > 0 and left > n * (1 - STALL)
-        done = bins if stalled else bins.where("done")
-        finished.append(done.select(F.lit(at).alias("round"), "part", "bin", "members"))
-        open_bins, n, at = bins.where(~F.col("done")).select("fill", "members"), 0 if stalled else left, at + 1
+        whole, rest = n <= per_partition, None
+        if whole:
+            chosen, last = opened.withColumn("part", F.lit(0).cast("long")), True
+        elif not at:
+            parts = -(-n // per_partition)
+            chosen, last = opened.withColumn("part", F.pmod(F.xxhash64(F.col("members")[0]), F.lit(parts))), False
+        else:
+            under = F.col("fill") * 2 <= capacity
+            few = opened.where(under).count()
+            parts = -(-few // fan)
+            last = parts <= 1
+            if not few:
+                finished.append(opened.select("number", "members"))
+                break
+            dealt = opened.withColumn("part", F.pmod(F.xxhash64("number", F.lit(at)), F.lit(parts)))
+            met = _shared.stored(_first(dealt.where(~under), fan, "part", "fill"), f"met-{at}")
+            chosen = dealt.where(under).unionByName(met.where(F.col("n") <= fan).drop("n"))
+            rest = met.where(F.col("n") > fan).select("number", "fill", "members")
+        bins = _shared.stored(chosen.groupBy("part").applyInArrow(_packed(at, capacity, slack, last), BINS), f"bins-{at}")
+        finished.append(bins.where("done").select("number", "members"))
+        opened = bins.where(~F.col("done")).select("number", "fill", "members")
+        if last:
+            finished += [rest.select("number", "members")] if rest is not None else []
+            break
+        opened = opened if rest is None else opened.unionByName(rest)
+        n, at = opened.count(), at + 1
     every = finished[0]
     for more in finished[1:]:
         every = every.unionByName(more)
-    number = F.when(F.col("round") < 0, -1 - F.col("bin")).otherwise((F.col("round").cast("long") * (1 << 24) + F.col("part")) * (1 << 28) + F.col("bin"))
-    return every.select(number.alias("sequence_id"), "members").mapInArrow(_opened, f"{PIECES}, sequence_id long, offset long")
+    return every.select(F.col("number").alias("sequence_id"), "members").mapInArrow(_opened, f"{PIECES}, sequence_id long, offset long")
 
 
 def _opened(batches):
