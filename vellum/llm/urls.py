@@ -1,18 +1,23 @@
 """URL filters: rules first, then a path-template tree, with DataFrame functions only.
 
-Every page's path becomes segments; digits are one sign, long hexadecimal strings
-another, and what lies beyond DEPTH segments is one tail. The tree of a host is
-made level by level on the table of distinct paths: a segment stays a branch of its own if it has
-a share of its parent's pages (SHARE, and at least LEAST pages) and its labelled
-rate differs from its parent's at Z standard errors; all others merge into the
-wildcard. A template's rate of bad labels is smoothed towards its host's, and that
-towards all pages', with WEIGHT labels each. Templates at REJECT or more are blocked.
+Every path becomes segments, all of them; digits are one sign and long hexadecimal strings
+another. The tree of a host is made level by level on the table of distinct paths: a segment
+stays a branch of its own if it has a share of its parent's pages (SHARE, and at least LEAST pages) and its
+labelled rate differs from its parent's at Z standard errors; all others merge into the
+wildcard. Below a parent of fewer than LEAST pages, or one whose labels all agree, nothing can stay
+apart, so such paths are finished at once; the levels end when all are. A template's rate of
+bad labels is smoothed towards its host's, and that towards all pages', with WEIGHT labels
+each. Templates at REJECT or more are blocked.
 
 Rules (host suffix, path start) decide before the tree; the longest that fits wins.
 
+Joins put keys of over a thousandth of the rows apart (see ``_shared.often_first``), so that no host, template or
+document gathers its pages in one task.
+
 Nulls: a null url, or one without "://", has an empty host and path and is judged by the
 empty template. Null labels are left out; a document with several labels is bad if any
-says so. Equal urls are pages of their own. An empty table gives no rows.
+says so. Equal urls are pages of their own. Very long urls are read whole. Rates that tie with REJECT block. Other
+columns are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +29,6 @@ from vellum.llm import _shared
 
 # Fixed rules: host suffix, path start, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-DEPTH = 4
 SHARE = 0.02
 LEAST = 5
 Z = 1.96
@@ -52,12 +56,31 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def segments(path: Column) -> Column:
-    """At most DEPTH generalised segments and, beyond them, one tail."""
-    plain = F.transform(
+    """The path's segments that are not empty, generalised."""
+    return F.transform(
         F.filter(F.split(path, "/"), lambda s: s != ""),
         lambda s: F.when(F.rlike(s, F.lit("^[0-9a-f-]{16,}$")), F.lit("{h}")).otherwise(F.regexp_replace(s, "[0-9]+", "{n}")),
     )
-    return F.when(F.size(plain) > DEPTH, F.concat(F.slice(plain, 1, DEPTH), F.array(F.lit("**")))).otherwise(plain)
+
+
+def _level(rows: DataFrame, depth: int) -> DataFrame:
+    """rows, all longer than depth, with their templates one segment longer, or to their end where nothing below can stay apart."""
+    sums = lambda *by: [F.sum(c).alias(a) for c, a in zip(("n", "lab", "bad"), by, strict=True)]
+    at = F.get(F.split("way", "/"), F.lit(depth))
+    child = _shared.stored(rows.withColumn("seg", at).groupBy("host", "template", "seg").agg(*sums("n", "lab", "bad"), F.count("*").alias("ways")), "branches")
+    parent = child.groupBy("host", "template").agg(*sums("all_n", "all_lab", "all_bad"), F.count("*").alias("branches"))
+    branches, ways = child.agg(F.count("*"), F.sum("ways")).first()
+    rate = F.col("all_bad") / F.nullif("all_lab", F.lit(0))
+    apart = F.abs(F.col("bad") / F.nullif("lab", F.lit(0)) - rate) > Z * F.sqrt(rate * (1 - rate) / F.nullif("lab", F.lit(0)))
+    goes_on = F.coalesce((F.col("all_n") >= LEAST) & (rate > 0) & (rate < 1), F.lit(False))
+    kept = F.coalesce(goes_on & (F.col("n") >= LEAST) & (F.col("n") >= SHARE * F.col("all_n")) & apart, F.lit(False))
+    judged = _shared.often_first(child, parent, ["host", "template"], "branches", branches)
+    judged = judged.select("host", "template", "seg", "ways", kept.alias("kept"), goes_on.alias("goes_on"))
+    joined = _shared.often_first(rows.withColumn("seg", at), judged, ["host", "template", "seg"], "ways", ways)
+    length = F.size(F.split("way", "/"))
+    step = F.when(~F.col("goes_on"), F.repeat(F.lit("/*"), length - depth)).otherwise(F.concat(F.lit("/"), F.when(F.col("kept"), F.col("seg")).otherwise("*")))
+    open_ = F.col("goes_on") & (length > depth + 1)
+    return joined.select("host", "way", "n", "lab", "bad", F.concat("template", step).alias("template"), open_.alias("open"))
 
 
 def template_tree(labelled: DataFrame) -> DataFrame:
@@ -65,27 +88,27 @@ def template_tree(labelled: DataFrame) -> DataFrame:
 
     way is the generalised path; template what the tree made of it; rate its smoothed share of bad labels.
     """
-    sums = lambda *by: [F.sum(c).alias(a) for c, a in zip(("n", "lab", "bad"), by, strict=True)]
     pages = labelled.select("host", F.array_join(segments(F.col("path")), "/").alias("way"), "bad")
     tree = pages.groupBy("host", "way").agg(F.count("*").alias("n"), F.count("bad").alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    tree = _shared.stored(tree.withColumn("template", F.lit("")), "urls")
-    for d in range(DEPTH + 1):
-        at = F.when(F.col("way") != "", F.get(F.split("way", "/"), F.lit(d)))
-        own = tree.withColumn("seg", at)
-        child = own.where(F.col("seg").isNotNull()).groupBy("host", "template", "seg").agg(*sums("n", "lab", "bad"))
-        parent = child.groupBy("host", "template").agg(*sums("all_n", "all_lab", "all_bad"))
-        rate = F.col("all_bad") / F.nullif("all_lab", F.lit(0))
-        apart = F.abs(F.col("bad") / F.nullif("lab", F.lit(0)) - rate) > Z * F.sqrt(rate * (1 - rate) / F.nullif("lab", F.lit(0)))
-        kept = child.join(parent, ["host", "template"]).where((F.col("n") >= LEAST) & (F.col("n") >= SHARE * F.col("all_n")) & (rate > 0) & (rate < 1) & apart)
-        joined = own.join(kept.select("host", "template", "seg", F.lit(True).alias("kept")), ["host", "template", "seg"], "left")
-        step = F.when(F.col("seg").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.when(F.col("kept"), F.col("seg")).otherwise("*")))
-        tree = _shared.stored(joined.select("host", "way", "n", "lab", "bad", F.concat("template", step).alias("template")), "urls")
-    by_host = tree.groupBy("host").agg(F.sum("lab").alias("host_lab"), F.sum("bad").alias("host_bad"))
-    by_template = tree.groupBy("host", "template").agg(F.sum("lab").alias("t_lab"), F.sum("bad").alias("t_bad"))
+    rows, done, depth = _shared.stored(tree.withColumns({"template": F.lit(""), "open": F.col("way") != ""}), "urls"), [], 0
+    while True:
+        done.append(rows.where(~F.col("open")).drop("open"))
+        rows = rows.where("open").drop("open")
+        if rows.isEmpty():
+            break
+        rows, depth = _shared.stored(_level(rows, depth), "urls"), depth + 1
+    tree = done[0]
+    for more in done[1:]:
+        tree = tree.unionByName(more)
+    tree = _shared.stored(tree, "templates")
+    by_template = tree.groupBy("host", "template").agg(F.sum("lab").alias("t_lab"), F.sum("bad").alias("t_bad"), F.count("*").alias("ways"))
+    by_host = by_template.groupBy("host").agg(F.sum("t_lab").alias("host_lab"), F.sum("t_bad").alias("host_bad"), F.count("*").alias("templates"))
+    templates, ways = by_template.agg(F.count("*"), F.coalesce(F.sum("ways"), F.lit(0))).first()
     every = by_host.agg((F.coalesce(F.sum("host_bad"), F.lit(0)) / F.greatest(F.coalesce(F.sum("host_lab"), F.lit(0)), F.lit(1))).alias("every"))
     prior = (F.col("host_bad") + WEIGHT * F.col("every")) / (F.col("host_lab") + WEIGHT)
-    rated = by_template.join(by_host, "host").join(F.broadcast(every)).select("host", "template", ((F.col("t_bad") + WEIGHT * prior) / (F.col("t_lab") + WEIGHT)).alias("rate"))  # one row is broadcast
-    return tree.select("host", "way", "n", "template").join(rated, ["host", "template"])
+    own = _shared.often_first(by_template, by_host, ["host"], "templates", templates).join(F.broadcast(every))  # one row is broadcast
+    rated = own.select("host", "template", "ways", ((F.col("t_bad") + WEIGHT * prior) / (F.col("t_lab") + WEIGHT)).alias("rate"))
+    return _shared.often_first(tree.select("host", "way", "n", "template"), rated, ["host", "template"], "ways", ways)
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules=RULES) -> DataFrame:
@@ -105,9 +128,13 @@ def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
     bad = F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int"))
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(bad.alias("bad"))
     path = path_of(F.col("url"))
-    number = F.regexp_extract(path, "([0-9]+)[^0-9]*$", 1)
-    read = pages.select(host_of(F.col("url")).alias("host"), path.alias("path"), F.when(F.length(number).between(1, 18), number.cast("long")).alias("doc_id"))
-    return read.join(known, "doc_id", "left").select("host", "path", "bad")
+    number = F.regexp_extract(path, "([0-9]+)[^0-9]*$", 1).try_cast("long")
+    read = pages.select(host_of(F.col("url")).alias("host"), path.alias("path"), number.alias("doc_id"))
+    named = read.where(F.col("doc_id").isNotNull())
+    classes = _shared.stored(named.groupBy("doc_id").agg(F.count("*").alias("n")).join(known, "doc_id", "left"), "page-labels")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    found = _shared.often_first(named, classes, ["doc_id"], "n", total).select("host", "path", "bad")
+    return found.unionByName(read.where(F.col("doc_id").isNull()).select("host", "path", F.lit(None).cast("int").alias("bad")))
 
 
 def op8_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,43 +149,37 @@ def _sql() -> str:
         fits = f"(host = '{suffix}' OR ends_with(host, '.{suffix}')) AND starts_with(path, '{start}')"
         rule, verdict = f"CASE WHEN {fits} THEN '{suffix}{start}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{says}' ELSE {verdict} END"
     plain = "list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_full_match(s, '[0-9a-f-]{16,}') THEN '{h}' ELSE regexp_replace(s, '[0-9]+', '{n}', 'g') END)"
-
-    def level(d: int) -> str:
-        rate, own = "(all_bad / nullif(all_lab, 0))", "(bad / nullif(lab, 0))"
-        return f"""
-        own{d} AS (SELECT *, CASE WHEN way <> '' THEN string_split(way, '/')[{d + 1}] END AS seg FROM tree{d}),
-        child{d} AS (SELECT host, template, seg, sum(n) AS n, sum(lab) AS lab, sum(bad) AS bad FROM own{d} WHERE seg IS NOT NULL GROUP BY ALL),
-        kept{d} AS (
-            SELECT host, template, seg FROM child{d}
-            JOIN (SELECT host, template, sum(n) AS all_n, sum(lab) AS all_lab, sum(bad) AS all_bad FROM child{d} GROUP BY ALL) USING (host, template)
-            WHERE n >= {LEAST} AND n >= {SHARE} * all_n AND {rate} > 0 AND {rate} < 1 AND abs({own} - {rate}) > {Z} * sqrt({rate} * (1 - {rate}) / nullif(lab, 0))),
-        tree{d + 1} AS (
-            SELECT host, way, n, lab, bad, template || CASE WHEN o.seg IS NULL THEN '' WHEN k.seg IS NULL THEN '/*' ELSE '/' || o.seg END AS template
-            FROM own{d} o LEFT JOIN (SELECT host, template, seg FROM kept{d}) k USING (host, template, seg))"""
-
-    # o.seg and k.seg are told apart below, as USING merges them
-    levels = ",".join(level(d).replace("USING (host, template, seg))", "ON o.host = k.host AND o.template = k.template AND o.seg = k.seg)").replace("SELECT host, way, n, lab, bad, template ||", "SELECT o.host, o.way, o.n, o.lab, o.bad, o.template ||") for d in range(DEPTH + 1))
+    rate, own = "(all_bad / nullif(all_lab, 0))", "(bad_s / nullif(lab_s, 0))"
     return f"""
-    WITH parsed AS (
+    WITH RECURSIVE parsed AS (
         SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') AS host,
                coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
-    cut AS (SELECT *, {plain} AS segs FROM parsed),
-    ways AS (
-        SELECT page_id, host, path, coalesce(array_to_string(CASE WHEN len(segs) > {DEPTH} THEN list_append(segs[1:{DEPTH}], '**') ELSE segs END, '/'), '') AS way,
-               regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS number FROM cut),
+    ways AS (SELECT page_id, host, path, coalesce(array_to_string({plain}, '/'), '') AS way, regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS number FROM parsed),
     known AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL OR toxic IS NULL THEN NULL ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
-    tree0 AS (
-        SELECT host, way, count(*) AS n, count(bad) AS lab, coalesce(sum(bad), 0) AS bad, '' AS template
-        FROM (SELECT host, way, CASE WHEN length(number) BETWEEN 1 AND 18 THEN CAST(number AS BIGINT) END AS doc_id FROM ways) LEFT JOIN known USING (doc_id)
+    base AS (
+        SELECT host, way, count(*) AS n, count(bad) AS lab, CAST(coalesce(sum(bad), 0) AS BIGINT) AS bad
+        FROM (SELECT host, way, TRY_CAST(number AS BIGINT) AS doc_id FROM ways) LEFT JOIN known USING (doc_id)
         GROUP BY host, way),
-    {levels},
-    by_host AS (SELECT host, sum(lab) AS host_lab, sum(bad) AS host_bad FROM tree{DEPTH + 1} GROUP BY host),
+    level(host, way, n, lab, bad, template, depth, going) AS (
+        SELECT host, way, n, lab, bad, '', 0, way <> '' FROM base
+        UNION ALL
+        SELECT host, way, n, lab, bad,
+               template || CASE WHEN NOT goes_on THEN repeat('/*', segs - depth)
+                                WHEN n_s >= {LEAST} AND n_s >= {SHARE} * all_n AND coalesce(abs({own} - {rate}) > {Z} * sqrt({rate} * (1 - {rate}) / nullif(lab_s, 0)), false) THEN '/' || seg
+                                ELSE '/*' END,
+               depth + 1, goes_on AND segs > depth + 1
+        FROM (SELECT *, coalesce(all_n >= {LEAST} AND {rate} > 0 AND {rate} < 1, false) AS goes_on
+              FROM (SELECT *, sum(n) OVER b AS n_s, sum(lab) OVER b AS lab_s, sum(bad) OVER b AS bad_s, sum(n) OVER p AS all_n, sum(lab) OVER p AS all_lab, sum(bad) OVER p AS all_bad
+                    FROM (SELECT *, string_split(way, '/')[depth + 1] AS seg, len(string_split(way, '/')) AS segs FROM level WHERE going)
+                    WINDOW b AS (PARTITION BY host, template, seg), p AS (PARTITION BY host, template)))),
+    tree AS (SELECT * FROM level WHERE NOT going),
+    by_host AS (SELECT host, sum(lab) AS host_lab, sum(bad) AS host_bad FROM tree GROUP BY host),
     every_page AS (SELECT coalesce(sum(host_bad), 0) / greatest(coalesce(sum(host_lab), 0), 1) AS every FROM by_host),
     rated AS (
         SELECT host, template, (t_bad + {WEIGHT} * (host_bad + {WEIGHT} * every) / (host_lab + {WEIGHT})) / (t_lab + {WEIGHT}) AS rate
-        FROM (SELECT host, template, sum(lab) AS t_lab, sum(bad) AS t_bad FROM tree{DEPTH + 1} GROUP BY ALL) JOIN by_host USING (host) CROSS JOIN every_page)
+        FROM (SELECT host, template, sum(lab) AS t_lab, sum(bad) AS t_bad FROM tree GROUP BY ALL) JOIN by_host USING (host) CROSS JOIN every_page)
     SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN rate >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template, round(rate, 9) AS rate
-    FROM ways JOIN (SELECT host, way, template FROM tree{DEPTH + 1}) USING (host, way) JOIN rated USING (host, template)
+    FROM ways JOIN (SELECT host, way, template FROM tree) USING (host, way) JOIN rated USING (host, template)
     """
 
 
