@@ -93,14 +93,14 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in parts of at most ``rows`` rows and about ``size`` bytes of text, so that little is held as Python objects at a time."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of at most ``rows`` rows and about ``size`` bytes of a column, so that little is held as Python objects at a time."""
     for batch in batches:
         if not batch.num_rows:
             continue
         start = np.arange(batch.num_rows) // rows
-        if "text" in batch.schema.names:
-            own = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if column in batch.schema.names:
+            own = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             start = start + ((np.cumsum(own) - own) // size) * batch.num_rows
         edge = [0, *(np.flatnonzero(start[1:] != start[:-1]) + 1).tolist(), batch.num_rows]
         for a, b in zip(edge, edge[1:], strict=False):
