@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from vellum.llm import decontaminate, packing, pii, prefixhash, quality, sharding, simhash, suffixtree, tokenfile, urls
 
 
@@ -18,7 +17,6 @@ def queries() -> dict:
         "op8_template_tree": urls.op8_template_tree,
         "op9_suffix_tree": suffixtree.op9_suffix_tree,
         "op10_virtual_slots": sharding.op10_virtual_slots,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -10,8 +10,9 @@ Subtries of more than HOT keys are cut again by four blocks of their other 48 bi
 
 Nulls: a null text is empty, and texts without words have fingerprint zero, which
 links like any other. A row with a null doc_id gets its group's component; a group of
-only such rows has component null. Repeated ids are rows of their own. An empty
-table gives no rows.
+only such rows has component null. Repeated ids are rows of their own; ties of ids in a group are no ties of the
+result, which is the least id. Very long texts are read whole. Other columns are not read, whatever their names, and
+``deduplicate`` keeps them. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -132,15 +133,16 @@ def deduplicate(docs: DataFrame, similarity: float = sketches.SIMILARITY) -> Dat
     Groups are connected by exact similarities of five-word shingles (see sketches).
     docs must read the same rows in the same order each time, as a written table does.
     """
-    numbered = docs.withColumn("vellum_row", F.monotonically_increasing_id())
+    name = _shared.free_name(docs, "vellum_row")
+    numbered = docs.select("*", F.monotonically_increasing_id().alias(name))
     id = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))  # null ids come last
-    found = _shared.stored(sketches.sketched(numbered.select(F.col("vellum_row").alias("row"), id.alias("id"), "text")), "sketches")
+    found = _shared.stored(sketches.sketched(numbered.select(F.col(name).alias("row"), id.alias("id"), "text")), "sketches")
     classes = found.groupBy("node").agg(F.min("id").alias("id"), F.min_by("row", "id").alias("row"))
     near = sketches.links(found.dropDuplicates(["node"]), similarity)
     roots = components.components(near).withColumnRenamed("root", "group")
-    grouped = classes.join(roots, "node", "left").groupBy(F.coalesce("group", "node")).agg(F.min_by("row", "id").alias("vellum_row"))
-    kept = _shared.stored(grouped.select("vellum_row"), "kept")
-    return numbered.join(kept.hint("merge"), "vellum_row", "left_semi").select(*docs.columns)
+    grouped = classes.join(roots, "node", "left").groupBy(F.coalesce("group", "node")).agg(F.min_by("row", "id").alias(name))
+    kept = _shared.stored(grouped.select(name), "kept")
+    return numbered.join(kept.hint("merge"), name, "left_semi").select(*_shared.own_columns(docs))
 
 
 def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
