@@ -12,10 +12,10 @@ from vellum.sources import catalog
 
 
 def test_round_trip(tmp_path):
-    made = catalog.init(str(tmp_path), "/some/where", "My-Vault")
-    assert catalog.load(str(tmp_path), "My-Vault") == made
-    assert made.db == str(tmp_path / "repos/My-Vault/vellum.db")
-    assert yaml.safe_load(open(made.config)) == {"application": "obsidian", "name": "My-Vault", "directory": "/some/where"}
+    made = catalog.init(str(tmp_path), "/some/where", "Field.Notes")
+    assert catalog.load(str(tmp_path), "Field.Notes") == made
+    assert made.db == str(tmp_path / "repos/Field.Notes/vellum.db")
+    assert yaml.safe_load(open(made.config)) == {"application": "obsidian", "name": "Field.Notes", "directory": "/some/where"}
 
 
 def test_defaults(tmp_path, monkeypatch):
@@ -36,17 +36,17 @@ def test_errors(tmp_path):
     with pytest.raises(AlreadyExists):
         catalog.init(str(tmp_path), "/y", "one")
     with pytest.raises(UnknownApplication):
-        registry.strategy("emacs")
+        registry.strategy("zettlr")
 
 
 def test_names_are_sorted_folders_with_a_config(tmp_path):
     assert catalog.names(str(tmp_path)) == []
-    for name in ("zeta", "alpha"):
+    for name in ("yarrow", "acorn"):
         catalog.init(str(tmp_path), "/x", name)
     (tmp_path / "repos/file").write_text("")
     (tmp_path / "repos/bare").mkdir()
-    os.symlink(tmp_path / "repos/zeta", tmp_path / "repos/link")
-    assert catalog.names(str(tmp_path)) == ["alpha", "zeta"]
+    os.symlink(tmp_path / "repos/yarrow", tmp_path / "repos/link")
+    assert catalog.names(str(tmp_path)) == ["acorn", "yarrow"]
 
 
 def test_config_dir(monkeypatch):
@@ -82,16 +82,16 @@ def test_list_empty(run):
 
 def test_list(run, tmp_path):
     assert run("repo", "init", "/vaults/b", "-n", "beta")[0] == 0
-    assert run("repo", "init", "/vaults/a", "--name", "alpha", "-a", "emacs")[0] == 0
+    assert run("repo", "init", "/vaults/a", "--name", "acorn", "-a", "zettlr")[0] == 0
     (tmp_path / "repos/broken").mkdir()
-    (tmp_path / "repos/broken/config.yaml").write_text("name: [unclosed")
+    (tmp_path / "repos/broken/config.yaml").write_text("directory: {open")
     code, out, err = run("list", "-j")
     assert code == 0 and "could not load repo" in err
-    assert [(r["name"], r["application"]) for r in json.loads(out)] == [("alpha", "emacs"), ("beta", "obsidian")]
+    assert [(r["name"], r["application"]) for r in json.loads(out)] == [("acorn", "zettlr"), ("beta", "obsidian")]
     lines = run("ls")[1].splitlines()
     assert lines[0].split() == ["NAME", "APPLICATION", "DIRECTORY", "CONFIG", "DB"]
-    assert len({line.index(x) for line, x in zip(lines, ("APPLICATION", "emacs", "obsidian"), strict=True)}) == 1
-    assert run("repo", "init", "/vaults/a", "-n", "alpha")[0] == 1
+    assert len({line.index(x) for line, x in zip(lines, ("APPLICATION", "zettlr", "obsidian"), strict=True)}) == 1
+    assert run("repo", "init", "/vaults/a", "-n", "acorn")[0] == 1
 
 
 def test_index(run, tmp_path):
@@ -111,7 +111,7 @@ def test_usage_errors(run, tmp_path):
     assert run("index")[0] == 1
     assert run("index", "missing")[0] == 1
     assert run("list", "extra")[0] == 1
-    run("repo", "init", "/x", "-n", "e", "-a", "emacs")
+    run("repo", "init", "/x", "-n", "e", "-a", "zettlr")
     code, _, err = run("index", "e")
     assert code == 1 and "unknown application" in err
     assert "init" in run("repo")[1]

@@ -140,14 +140,30 @@ def test_store_and_search(spark, found, tmp_path):
 
 def test_changes_and_reindex(spark, repo, vault, tmp_path):
     snap = str(tmp_path / "snap")
-    docs, diff = reindex.reindex(spark, repo, snap)
-    assert docs.count() == 12 and {r.change for r in diff.collect()} == {"added"}
+    for _ in range(2):  # without a commit the same is found again
+        run = reindex.reindex(spark, repo, snap)
+        assert run.documents.count() == 12 and {r.change for r in run.changes.collect()} == {"added"}
+    run.commit()
     (vault / "a.md").write_text("longer")
     (vault / "new.md").write_text("x")
     (vault / "_draft.md").unlink()
-    docs, diff = reindex.reindex(spark, repo, snap)
-    assert {r.path: r.change for r in diff.where("change <> 'same'").collect()} == {str(vault / "a.md"): "modified", str(vault / "new.md"): "added", str(vault / "_draft.md"): "removed"}
-    assert {r.rel_path for r in docs.select("rel_path").collect()} == {"a.md", "new.md"}
+    run = reindex.reindex(spark, repo, snap)
+    assert {r.path: r.change for r in run.changes.where("change <> 'same'").collect()} == {str(vault / "a.md"): "modified", str(vault / "new.md"): "added", str(vault / "_draft.md"): "removed"}
+    assert {r.rel_path for r in run.documents.select("rel_path").collect()} == {"a.md", "new.md"}
+
+
+def test_wide_directories_are_listed_in_shares(spark, tmp_path, monkeypatch):
+    for k in range(60):
+        (tmp_path / f"f{k}.md").write_text("x")
+        (tmp_path / f"d{k}").mkdir()
+        (tmp_path / f"d{k}/in.md").write_text("x")
+    (tmp_path / ".obsidian").mkdir()
+    monkeypatch.setattr(tree, "WIDE", 20)
+    reader = tree.TreeReader({"path": str(tmp_path), "skip": ".obsidian", "partitions": "5"})
+    shares = reader.partitions()
+    assert len(shares) == 5 and not any(s.settled for s in shares)
+    rows = [r for s in shares for b in reader.read(s) for r in b.to_pylist()]
+    assert sorted(r["rel_path"] for r in rows) == sorted([f"f{k}.md" for k in range(60)] + [f"d{k}/in.md" for k in range(60)] + [".obsidian"])
 
 
 def test_event_stream(spark, found, tmp_path):

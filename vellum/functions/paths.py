@@ -63,7 +63,7 @@ def normalized(path: Column) -> Column:
 
 def relative_path(path: Column, root: Column) -> Column:
     """path seen from root, both absolute and normalized; '.' is root itself."""
-    at, base = F.split(path, "/"), F.split(F.when(root == "/", F.lit("")).otherwise(root), "/")
+    at, base = F.split(F.when(path == "/", F.lit("")).otherwise(path), "/"), F.split(F.when(root == "/", F.lit("")).otherwise(root), "/")
     inside = F.startswith(path, F.concat(F.when(root == "/", F.lit("")).otherwise(root), F.lit("/")))
     short = F.substr(path, F.when(root == "/", F.lit(2)).otherwise(F.length(root) + 2))
     shared = F.size(F.filter(F.sequence(F.lit(1), F.size(base)), lambda n: F.slice(at, 1, n) == F.slice(base, 1, n)))

@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions.bind import let
+
 TYPE = "array<struct<text: string, heading_path: array<string>, start_line: int, end_line: int>>"
 _MARK = "array<struct<at: int, path: array<struct<level: int, title: string>>>>"
 
 
 def lines_of(body: Column) -> Column:
-    return _let(F.split(body, "\n"), lambda found: F.when(F.element_at(found, -1) == "", F.slice(found, 1, F.size(found) - 1)).otherwise(found))
+    return let(F.split(body, "\n"), lambda found: F.when(F.element_at(found, -1) == "", F.slice(found, 1, F.size(found) - 1)).otherwise(found))
 
 
 def _headings(lines: Column) -> Column:
@@ -58,16 +60,14 @@ def chunks(body: Column, lines_before: Column) -> Column:
             )
             return F.filter(rows, lambda c: (F.size(c["heading_path"]) > 0) | F.rlike(c["text"], F.lit(r"\S")))
 
-        return _let(_headings(lines), at)
-
-    # both are bound once: what a lambda takes from outside would be worked out again for each element
-    note = F.struct(lines_of(body).alias("lines"), lines_before.alias("offset"))
-    return F.when(body.isNotNull(), _let(note, cut)).cast(TYPE)
+        return let(_headings(lines), at)
 
+    def of(given: Column) -> Column:
+        note = F.struct(lines_of(given["body"]).alias("lines"), given["offset"].alias("offset"))
+        return F.when(given["body"].isNotNull(), let(note, cut))
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    # all is bound once: what a lambda takes from outside would be worked out again for each element
+    return let(F.struct(body.alias("body"), lines_before.alias("offset")), of).cast(TYPE)
 
 
 def exploded(documents: DataFrame, *keys: str) -> DataFrame:

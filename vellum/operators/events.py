@@ -44,7 +44,7 @@ def events(entries: DataFrame, outcomes: DataFrame, extensions: list[str]) -> Da
 
 
 def in_order(found: DataFrame) -> DataFrame:
-    """Events in the order of a walk, numbered from 0 by a range sort and per-partition counts."""
+    """Events in the order of a walk, by a range sort."""
     return found.orderBy(paths.walk_key(F.col("rel_path")), "step")
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -13,21 +14,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 DIMENSIONS = 256
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 8192
 
 
 def embed(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """A deterministic bag-of-words vector of length one: words are hashed to a place and a sign."""
+    """A deterministic bag-of-words vector of length one: a word's MD5 gives its place (first four bytes) and sign (last bit of the fifth).
+
+    Words are runs between blanks, A-Z in lower case. Each word of a batch is hashed once.
+    """
 
     @F.pandas_udf("array<float>")
     def vectors(texts: pd.Series) -> pd.Series:
-        out = np.zeros((len(texts), dimensions), dtype=np.float32)
-        for k, text in enumerate(texts):
-            for word in (text or "").lower().split():
-                h = zlib.crc32(word.encode())
-                out[k, h % dimensions] += 1 if h >> 31 else -1
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return pd.Series(list(out / np.where(norm == 0, 1, norm)))
+        split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        own = list(set().union(*split))
+        hashed = np.frombuffer(b"".join(hashlib.md5(w, usedforsecurity=False).digest()[:5] for w in own), np.uint8).reshape(-1, 5).astype(np.int64)
+        at, sign = (hashed[:, :4] << np.array([24, 16, 8, 0])).sum(axis=1) % dimensions, 1 - 2 * (hashed[:, 4] & 1)
+        place = dict(zip(own, range(len(own)), strict=True))
+        sizes = np.array([len(ws) for ws in split], dtype=np.int64)
+        words = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        key = np.repeat(np.arange(len(split)), sizes) * dimensions + at[words]
+        out = np.bincount(key, sign[words], len(split) * dimensions).reshape(-1, dimensions)
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return pd.Series(list((out / np.where(norm == 0, 1, norm)).astype(np.float32)))
 
     return vectors(text)
 

@@ -1,6 +1,6 @@
 """Indexing a repository: entries, then documents, events and statistics over one scan.
 
-The tree is listed once and kept; the extension filter runs on metadata, so only files that have a
+The tree is listed once and written; the extension filter runs on metadata, so only files that have a
 parser are opened. A file that cannot be described or read fails by itself; what its
 parser objects to is kept as parse_error and does not fail it.
 """
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum import scratch
 from vellum.errors import NOT_IN_REPO, NOT_REGULAR
 from vellum.functions import paths
 from vellum.operators import chunks, events
@@ -28,7 +29,7 @@ DOCUMENT = (
 
 @dataclass
 class IndexResult:
-    """Tables over one kept scan. close() lets go of it."""
+    """Tables over one scan that is written to the shared folder, so that all agree whatever is lost. close() deletes it."""
 
     documents: DataFrame
     events: DataFrame
@@ -37,22 +38,31 @@ class IndexResult:
     outcomes: DataFrame
 
     def close(self) -> None:
-        self.outcomes.unpersist()
-        self.entries.unpersist()
+        scratch.remove(self.outcomes)
+        scratch.remove(self.entries)
 
 
-def outcomes(entries: DataFrame, plan: Strategy) -> DataFrame:
-    """Every kept file with its content's parse, or the error that failed it."""
+def classified(entries: DataFrame, plan: Strategy) -> DataFrame:
+    """Every kept file, with the error that fails it before it is opened."""
     kept = entries.where((F.col("entry") == "file") & F.col("extension").isin(plan.extensions()))
     outside = ~paths.is_local(F.col("rel_path"))
-    kept = kept.withColumn("error", F.coalesce("stat_error", F.when(~F.col("is_regular"), F.lit(NOT_REGULAR)), F.when(outside, F.lit(NOT_IN_REPO))))
-    read = tree.with_content(kept.where(F.col("error").isNull()))
-    found = kept.join(read, "path", "left").withColumn("error", F.coalesce("error", "read_error"))
-    parsed = None
+    return kept.withColumn("error", F.coalesce("stat_error", F.when(~F.col("is_regular"), F.lit(NOT_REGULAR)), F.when(outside, F.lit(NOT_IN_REPO))))
+
+
+def parsed(read: DataFrame, plan: Strategy) -> DataFrame:
+    """Files with content, and read_error, as their parsers read them."""
+    found, out = read.withColumn("error", F.coalesce("error", "read_error")), None
     for ext, parser in sorted(plan.parsers.items()):
         part = parser.parse(found.where(F.col("extension") == ext))
-        parsed = part if parsed is None else parsed.unionByName(part)
-    return parsed.drop("content", "read_error")
+        out = part if out is None else out.unionByName(part)
+    return out.drop("content", "read_error")
+
+
+def outcomes(entries: DataFrame, plan: Strategy) -> DataFrame:
+    """Every kept file with its content's parse, or the error that failed it."""
+    kept = classified(entries, plan)
+    failed = kept.where(F.col("error").isNotNull()).withColumns({"content": F.lit(None).cast("binary"), "read_error": F.lit(None).cast("string")})
+    return parsed(tree.with_content(kept.where(F.col("error").isNull())).unionByName(failed), plan)
 
 
 def documents(found: DataFrame, repo: Repo, plan: Strategy, with_chunks: bool = False) -> DataFrame:
@@ -78,8 +88,8 @@ def stats(entries: DataFrame, found: DataFrame, plan: Strategy) -> DataFrame:
 
 
 def _index(entries: DataFrame, repo: Repo, plan: Strategy, with_chunks: bool) -> IndexResult:
-    entries = entries.persist()
-    found = outcomes(entries, plan).persist()
+    entries = scratch.stored(entries, "entries")
+    found = scratch.stored(outcomes(entries, plan), "outcomes")
     return IndexResult(documents(found, repo, plan, with_chunks), events.events(entries, found, plan.extensions()), stats(entries, found, plan), entries, found)
 
 

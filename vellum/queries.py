@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from vellum.functions import frontmatter, paths, properties
 from vellum.operators import changes, chunks, events, search, sinks
-from vellum.plans import registry
+from vellum import scratch
+from vellum.plans import index, registry
 from vellum.plans.notes import NOTES_SQL, PLACED_SQL, documents, notes, placed
 from vellum.sources import tree
 
@@ -69,7 +70,7 @@ def index_stats(spark, sf_dir):
 def numbered(df: DataFrame, *order) -> DataFrame:
     """df with position from 0 in a total order: ranges are sorted apart, and their counts give the offsets."""
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()).persist()
+    ranged = scratch.stored(df.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "ranged")
     counts = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a partition
     before, total = [], 0
     for k in range(max(counts, default=0) + 1):
@@ -145,8 +146,44 @@ def chunk_embedding_input(spark, sf_dir):
 
 
 def chunk_vectors(spark, sf_dir):
-    """Chunks with their vectors, as they are stored."""
-    return _chunks(spark, sf_dir).withColumn("vector", search.embed(chunks.embedding_input(F.col("heading_path"), F.col("text"))))
+    """Chunks with the entries of their vectors, as they are stored, that are not zero."""
+    cut = _chunks(spark, sf_dir).withColumn("vector", search.embed(chunks.embedding_input(F.col("heading_path"), F.col("text"))))
+    rows = cut.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.posexplode("vector").alias("place", "value"))
+    return rows.where(F.col("value") != 0).select("doc_id", "chunk_no", F.col("place").cast("long").alias("place"), F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
+def index_outcomes(spark, sf_dir):
+    """What becomes of every kept file: failures before and while reading, doubts of the parser."""
+    entries, places = _entries(spark, sf_dir), F.col("doc_id")
+    kept = index.classified(entries, PLAN).join(notes(spark, sf_dir), "doc_id")
+    read = kept.withColumns({"content": F.when(F.col("error").isNull() & (places % 17 != 0), F.col("note").cast("binary")), "read_error": F.when(F.col("error").isNull() & (places % 17 == 0), F.lit("unreadable"))})
+    return index.parsed(read.drop("note"), PLAN).select("doc_id", "rel_path", "error", F.when(F.col("error").isNull(), F.col("parse_error")).alias("parse_error"))
+
+
+def _entries(spark, sf_dir):
+    number = F.col("doc_id")
+    return placed(spark, sf_dir).where(~paths.below_skipped(F.col("rel_path"), PLAN.skip_directories)).withColumns({
+        "entry": F.lit("file"), "path": F.concat(F.lit("/vault/"), "rel_path"), "extension": paths.extension(F.col("rel_path")), "size": F.lit(1).cast("long"),
+        "stat_error": F.when(number % 13 == 0, F.lit("no such file")), "is_regular": F.when(number % 13 != 0, number % 19 != 0),
+        "rel_path": F.when(number % 23 == 0, F.concat(F.lit("../"), "rel_path")).otherwise(F.col("rel_path")),
+    })
+
+
+def index_failures(spark, sf_dir):
+    """The four counters where some files fail."""
+    done = index_outcomes(spark, sf_dir)
+    return index.stats(_entries(spark, sf_dir), done, PLAN)
+
+
+def properties_rich(spark, sf_dir):
+    """Front matter with lists, maps, dates, floats, quotes and duplicate keys, as canonical JSON."""
+    n = F.col("doc_id")
+    text = F.concat(
+        F.lit("tags: [a"), n, F.lit(", 'b c']\nwhen: 2024-02-"), F.lpad((n % 28 + 1).cast("string"), 2, "0"), F.lit("\nratio: "), (n % 10).cast("string"), F.lit(".5\nnested:\n  on: yes\n  deep: {k: null, z: true}\nsize: 0x"),
+        F.lower(F.hex(n)), F.lit("\nquoted: \"7\"\n"), F.when(n % 9 == 0, F.lit("ratio: 1\n")).otherwise(""),
+    )
+    found = documents(spark, sf_dir).select("doc_id", properties.properties(text).alias("p"))
+    return found.select("doc_id", F.col("p.properties_json").alias("properties_json"), F.col("p.error").isNotNull().alias("failed"))
 
 
 def embedding_topk(spark, sf_dir):
@@ -174,7 +211,7 @@ def file_listing(spark, sf_dir):
 
 QUERIES = (
     frontmatter_split, frontmatter_status_counts, extension_mime, skip_dir_prune, format_kept, format_skipped, index_stats, walk_order, relpath_containment,
-    repo_name_valid, repo_list_json, properties_get, document_events, document_json, heading_chunks, chunk_embedding_input, chunk_vectors, embedding_topk,
+    repo_name_valid, repo_list_json, properties_get, document_events, document_json, heading_chunks, chunk_embedding_input, chunk_vectors, index_outcomes, index_failures, properties_rich, embedding_topk,
     embedding_topk_filtered, incremental_changes, file_listing,
 )
 
@@ -213,6 +250,12 @@ _TOPK_SQL = """
             FROM embeddings q JOIN embeddings r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id {where}))
     WHERE rank <= {k}"""
 
+_OUTCOMES_SQL = """
+    outcomes AS (
+        SELECT doc_id, CASE WHEN doc_id % 23 = 0 THEN '../' ELSE '' END || rel_path AS rel_path,
+               CASE WHEN doc_id % 13 = 0 THEN 'no such file' WHEN doc_id % 19 = 0 THEN 'not a regular file' WHEN doc_id % 23 = 0 THEN 'file not under repo path' WHEN doc_id % 17 = 0 THEN 'unreadable' END AS error
+        FROM typed WHERE NOT below AND extension = '.md')"""
+
 _NAMES_SQL = ", ".join(f"('{n}')" for n in NAMES)
 
 
@@ -253,6 +296,16 @@ def oracle_sql() -> dict[str, str]:
         "heading_chunks": _CHUNKS_SQL + " SELECT doc_id, chunk_no, heading_path, start_line, end_line, md5(text) AS text_md5 FROM chunks",
         "chunk_embedding_input": _CHUNKS_SQL + """, inputs AS (SELECT doc_id, chunk_no, CASE WHEN heading_path <> '' THEN heading_path || chr(10) || text ELSE text END AS input FROM chunks)
             SELECT doc_id, chunk_no, length(input) AS n_chars, md5(input) AS input_md5 FROM inputs""",
+        "chunk_vectors": _CHUNKS_SQL + """, inputs AS (SELECT doc_id, chunk_no, CASE WHEN heading_path <> '' THEN heading_path || chr(10) || text ELSE text END AS input FROM chunks),
+            words AS (SELECT doc_id, chunk_no, unnest(list_filter(regexp_split_to_array(translate(input, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')) AS w FROM inputs),
+            hashed AS (SELECT doc_id, chunk_no, CAST('0x' || substr(md5(w), 7, 2) AS BIGINT) AS place, 1 - 2 * (CAST('0x' || substr(md5(w), 9, 2) AS BIGINT) % 2) AS sign FROM words),
+            entries AS (SELECT doc_id, chunk_no, place, CAST(sum(sign) AS DOUBLE) AS v FROM hashed GROUP BY ALL)
+            SELECT doc_id, chunk_no, place, round(CAST(CAST(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id, chunk_no)) AS FLOAT) AS DOUBLE), 4) AS value FROM entries QUALIFY v <> 0""",
+        "index_outcomes": f"WITH {NOTES_SQL}, {PLACED_SQL}, {_OUTCOMES_SQL} SELECT doc_id, rel_path, error, CASE WHEN error IS NULL AND status = 'unterminated' THEN 'unterminated front matter' END AS parse_error FROM outcomes JOIN split USING (doc_id)",
+        "index_failures": f"""WITH {PLACED_SQL}, {_OUTCOMES_SQL} SELECT CAST(0 AS BIGINT) AS dirs_skipped, (SELECT count(*) FROM typed WHERE NOT below AND extension <> '.md') AS docs_skipped,
+            (SELECT count(*) FROM outcomes WHERE error IS NULL) AS docs_prepared, (SELECT count(*) FROM outcomes WHERE error IS NOT NULL) AS docs_failed""",
+        "properties_rich": """SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN '{"nested":{"deep":{"k":null,"z":true},"on":"yes"},"quoted":"7","ratio":' || (doc_id % 10) || '.5,"size":' || doc_id || ',"tags":["a' || doc_id
+            || '","b c"],"when":"2024-02-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') || 'T00:00:00Z"}' END AS properties_json, doc_id % 9 = 0 AS failed FROM documents""",
         "embedding_topk": _TOPK_SQL.format(where="", k=10),
         "embedding_topk_filtered": _TOPK_SQL.format(where="AND r.label % 2 = 0", k=5),
         "incremental_changes": f"""WITH {PLACED_SQL} SELECT rel_path AS path, CASE doc_id % 10 WHEN 1 THEN 'added' WHEN 2 THEN 'modified' WHEN 3 THEN 'removed' ELSE 'same' END AS change FROM placed""",

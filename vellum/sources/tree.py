@@ -5,21 +5,25 @@ that were skipped. A link to a directory is a file here: it is not descended. Th
 root is exempt from the skip list; a root that is a link is one file. A directory that cannot be
 read fails the query.
 
-The driver opens directories breadth-first only until there is enough to share out;
-tasks walk the rest. Options: path, skip (base names, comma-separated), partitions.
+The driver opens directories breadth-first only until there is enough to share out, and none beyond WIDE
+entries: a wider directory goes to several tasks, each of which lists it and takes the names of its share by
+their checksum. Tasks walk the rest. Options: path, skip (base names, comma-separated), partitions.
 """
 
 from __future__ import annotations
 
 import os
 import stat
+import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from vellum.functions import paths
@@ -30,6 +34,7 @@ ARROW = pa.schema([
     ("mod_time", pa.timestamp("us", "UTC")), ("is_regular", pa.bool_()), ("stat_error", pa.string()),
 ])
 ROWS = 8192
+WIDE = 10_000
 
 
 def described(path: str, rel_path: str) -> tuple:
@@ -54,9 +59,9 @@ def batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Share(InputPartition):
-    """Directories to walk, and rows that are settled already (path, relative path, skipped or not)."""
+    """Directories to walk (path, share, of how many shares), and rows that are settled already (path, relative path, skipped or not)."""
 
-    directories: list[str]
+    directories: list[tuple[str, int, int]]
     settled: list[tuple[str, str, bool]]
 
     def __init__(self, directories, settled):
@@ -73,45 +78,56 @@ class TreeReader(DataSourceReader):
     def _inside(self, path: str) -> str:
         return os.path.relpath(path, self.root)
 
-    def _open(self, directory: str) -> tuple[list[str], list[tuple[str, str, bool]]]:
-        """Sub-directories to walk, and the settled entries of one directory."""
-        down, settled = [], []
+    def _entries(self, directory: str, share: int = 0, shares: int = 1) -> Iterator[tuple[str, str | None, bool]]:
+        """(path, relative path or None for a directory to walk, skipped or not) of one directory, or of a share of its names."""
         with os.scandir(directory) as entries:
             for e in entries:
+                if shares > 1 and zlib.crc32(os.fsencode(e.name)) % shares != share:
+                    continue
                 if not e.is_dir(follow_symlinks=False):
-                    settled.append((e.path, self._inside(e.path), False))
+                    yield e.path, self._inside(e.path), False
                 elif e.name in self.skip:
-                    settled.append((e.path, self._inside(e.path), True))
+                    yield e.path, self._inside(e.path), True
                 else:
-                    down.append(e.path)
-        return down, settled
+                    yield e.path, None, False
 
     def partitions(self) -> list[Share]:
         if os.path.islink(self.root) or not os.path.isdir(self.root):
             os.lstat(self.root)
             return [Share([], [(self.root, ".", False)])]
-        waiting, settled = deque([self.root]), []
-        while waiting and len(waiting) < 4 * self.shares and len(settled) < 50_000:
-            down, own = self._open(waiting.popleft())
-            waiting.extend(down)
-            settled += own
-        shares = [Share([], []) for _ in range(min(self.shares, max(1, len(waiting) + len(settled))))]
+        waiting, settled, wide = deque([self.root]), [], []
+        while waiting and len(waiting) < 4 * self.shares and len(settled) < 4 * WIDE:
+            directory = waiting.popleft()
+            own = list(islice(self._entries(directory), WIDE + 1))
+            if len(own) > WIDE:
+                wide.append(directory)
+                continue
+            waiting.extend(path for path, inside, _ in own if inside is None)
+            settled += [x for x in own if x[1] is not None]
+        shares = [Share([], []) for _ in range(self.shares if wide else min(self.shares, max(1, len(waiting) + len(settled))))]
+        for directory in wide:
+            for k, share in enumerate(shares):
+                share.directories.append((directory, k, len(shares)))
         for k, directory in enumerate(waiting):
-            shares[k % len(shares)].directories.append(directory)
+            shares[k % len(shares)].directories.append((directory, 0, 1))
         for k, row in enumerate(settled):
             shares[k % len(shares)].settled.append(row)
         return shares
 
     def read(self, share: Share) -> Iterator[pa.RecordBatch]:
+        def row(path: str, inside: str, skipped: bool) -> tuple:
+            return ("dir-skipped", path, inside, None, None, None, None) if skipped else described(path, inside)
+
         def rows():
-            waiting, settled = list(share.directories), share.settled
-            while True:
-                for path, rel_path, skipped in settled:
-                    yield ("dir-skipped", path, rel_path, None, None, None, None) if skipped else described(path, rel_path)
-                if not waiting:
-                    return
-                down, settled = self._open(waiting.pop())
-                waiting += down
+            for x in share.settled:
+                yield row(*x)
+            waiting = list(share.directories)
+            while waiting:
+                for path, inside, skipped in self._entries(*waiting.pop()):
+                    if inside is None:
+                        waiting.append((path, 0, 1))
+                    else:
+                        yield row(path, inside, skipped)
 
         yield from batches(rows())
 
@@ -157,16 +173,18 @@ def with_content(kept: DataFrame, partition_bytes: int = 64 << 20) -> DataFrame:
     spark = kept.sparkSession
     n = spark.sparkContext.defaultParallelism
     total = kept.agg(F.sum("size")).first()[0] or 0
-    schema = "path string, content binary, read_error string"
+    schema = T.StructType([*kept.schema.fields, T.StructField("content", T.BinaryType()), T.StructField("read_error", T.StringType())])
 
     def rows(parts):
         for part in parts:
-            for path in part.column("path").to_pylist():
+            for k, path in enumerate(part.column("path").to_pylist()):
                 try:
                     with open(path, "rb") as f:
                         content, problem = f.read(), None
                 except OSError as e:
                     content, problem = None, f"{e.strerror}: {path}"
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary()), pa.array([problem], pa.string())], names=["path", "content", "read_error"])
+                own = part.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([content], pa.binary()), pa.array([problem], pa.string())], names=schema.names)
 
-    return kept.select("path").repartition(max(n, -(-total // partition_bytes)), "path").mapInArrow(rows, schema)
+    # only the listing's rows are dealt; contents stay in the task that read them
+    return kept.repartition(max(n, -(-total // partition_bytes)), "path").mapInArrow(rows, schema)

@@ -6,11 +6,13 @@ A file stream would follow new paths only, so changes are found by joining listi
 from __future__ import annotations
 
 import os
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from vellum import scratch
 from vellum.operators import changes
 from vellum.plans import index
 from vellum.plans.registry import Strategy, strategy
@@ -29,15 +31,30 @@ def snapshot(spark: SparkSession, path: str) -> DataFrame:
     return every.where(F.col("version") == every.agg(F.max("version")).first()[0]).select("path", "size", "mod_time")
 
 
-def reindex(spark: SparkSession, repo: Repo, path: str, plan: Strategy | None = None, with_chunks: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(documents of new and modified files, all changes) since the snapshot at path, which gets a new version."""
+@dataclass
+class Reindex:
+    """Documents of new and modified files, and all changes. commit() makes the snapshot new; call it when the documents are stored.
+
+    Until then a repeated run finds the same changes again.
+    """
+
+    documents: DataFrame
+    changes: DataFrame
+    listing: DataFrame
+    path: str
+
+    def commit(self) -> None:
+        spark = self.listing.sparkSession
+        version = spark.range(1).select(F.unix_micros(F.current_timestamp())).first()[0]
+        self.listing.select("path", "size", "mod_time").withColumn("version", F.lit(version)).write.mode("append").parquet(self.path)
+
+
+def reindex(spark: SparkSession, repo: Repo, path: str, plan: Strategy | None = None, with_chunks: bool = False) -> Reindex:
+    """What has changed since the snapshot at path."""
     plan = plan or strategy(repo.application)
-    now = tree.entries(spark, os.path.abspath(repo.directory), plan.skip_directories).persist()
+    now = scratch.stored(tree.entries(spark, os.path.abspath(repo.directory), plan.skip_directories), "listing")
     kept = now.where((F.col("entry") == "file") & F.col("extension").isin(plan.extensions()))
-    found = changes.changes(snapshot(spark, path), kept).persist()
-    found.count()  # before the snapshot moves on
+    found = scratch.stored(changes.changes(snapshot(spark, path), kept), "changes")
     fresh = kept.join(found.where(F.col("change").isin("added", "modified")).select("path"), "path", "left_semi")
-    documents = index.documents(index.outcomes(fresh, plan), repo, plan, with_chunks)
-    version = spark.range(1).select(F.unix_micros(F.current_timestamp())).first()[0]
-    kept.select("path", "size", "mod_time").withColumn("version", F.lit(version)).write.mode("append").parquet(path)
-    return documents, found
+    done = scratch.stored(index.outcomes(fresh, plan), "outcomes")
+    return Reindex(index.documents(done, repo, plan, with_chunks), found, kept, path)
