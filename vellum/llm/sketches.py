@@ -10,6 +10,10 @@ the sets of shingles themselves, unless links of that similarity connect the two
 
 Keys shared by more than HOT texts, and candidate groups of more than GROUP texts, are dealt in parts, and
 each two parts meet in one task: no task grows with a group, and no pair is left out.
+
+Nulls: a null text is empty; texts without words are one node, as are all of equal sets of shingles, so repeated rows and
+ties in similarity need no order. Fewer words than WORDS are one shingle. Very long texts are read whole. Of other columns
+row and id are carried along. An empty table gives no links.
 """
 
 from __future__ import annotations

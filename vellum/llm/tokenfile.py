@@ -11,9 +11,9 @@ place), documents, tokens, and ``body``, whose layout is, little-endian:
     the codes, each document's from a byte of its own
 
 Nulls: a null text is empty and so has the end id alone; a null doc_id comes first.
-Equal doc_ids stay apart, in no promised order among themselves. An empty table
-gives a file without blocks. A document is never cut over blocks, so a block is
-BLOCK ids or one long document beyond that.
+Equal doc_ids stay apart, by their number of ids and then by their codes, so rows that tie in all agree in ids too.
+An empty table gives a file without blocks. A document is never cut over blocks, so a block is
+BLOCK ids or one very long document beyond that. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -113,7 +113,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None)
         ids.withColumn("bucket", ranges.bucket("doc_id"))
         .mapInArrow(coded, CODED)
         .repartitionById(ranges.count, "bucket")
-        .sortWithinPartitions("bucket", "doc_id")
+        .sortWithinPartitions("bucket", "doc_id", "n", "code")
         .mapInArrow(_blocks, BLOCKS)
         .write.parquet(f"{path}/blocks")
     )
